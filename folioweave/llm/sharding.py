@@ -19,6 +19,8 @@ from folioweave.session import fresh, materialize
 SHARDS = 40
 OVERHEAD = 16
 BUCKET_BYTES = 16 << 20
+#: Up to so many buckets (of 40 bytes at most each) their offsets are broadcast; beyond, they are joined by a shuffle.
+MOST_BROADCAST = 500_000
 
 
 def row_bytes(text: str) -> Column:
@@ -53,7 +55,8 @@ def shard(rows: DataFrame, shards: int = SHARDS, text: str = "text", bucket_byte
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     position = F.col("_before") + F.col(at)
-    joined = mixed.join(offsets, F.col(bucket) == F.col("_bucket"))
+    few = counts.count() <= MOST_BROADCAST
+    joined = mixed.join(F.broadcast(offsets) if few else offsets, F.col(bucket) == F.col("_bucket"))
     return joined.select(*(F.col(f"`{c}`") for c in rows.columns), (position % shards).cast("int").alias(fresh(rows, "shard")), ((position - position % shards) / shards).cast("long").alias(fresh(rows, "slot")))
 
 
