@@ -13,6 +13,7 @@ key and text are read.
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,10 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Below this code point the two libraries' character classes agree; texts with others are split by the tokenizer.
 AGREED = "՗"
 BLOCK_CHARS = 24_000_000
+#: Words are dealt to so many parts for each shuffle partition, and to so many at most.
+PARTS_A_PARTITION, MOST_PARTS = 4, 4096
+#: Words of the texts that a task returns at a time.
+RUN_WORDS = 500_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -78,12 +83,24 @@ def unplanes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-def blocks(docs: DataFrame, folder: str, vocabulary: str, text: str = "text", key: str = "doc_id", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """A row (word, block, slot) for each distinct word of each block of texts.
+def strings(words: list[str]) -> tuple[bytes, bytes]:
+    """Strings as packed lengths and packed bytes."""
+    raw = [w.encode() for w in words]
+    return planes(np.fromiter(map(len, raw), "<u4", len(raw))), zstandard.ZstdCompressor(3).compress(b"".join(raw))
 
-    The positions of a block go to a file in the shared ``folder``, named by the block. Blocks and slots follow
-    from a task's input alone, so a task that is run again writes the same file and the same rows. Each block has
-    a row for the empty word, so that blocks without words are not lost.
+
+def unstrings(lengths: bytes, data: bytes) -> list[str]:
+    raw, ends = zstandard.ZstdDecompressor().decompress(data), np.cumsum(unplanes(lengths).astype(np.int64)).tolist()
+    return [raw[a:b].decode() for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def blocks(docs: DataFrame, folder: str, vocabulary: str, parts: int, text: str = "text", key: str = "doc_id", block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The distinct words of each block of texts, dealt to ``parts`` parts by a hash of the word: a row for each
+    block and part that has words, with packed words and their slots.
+
+    The positions of a block go to a file in the shared ``folder``, named by the block. Blocks, slots and parts
+    follow from a task's input alone, so a task that is run again writes the same file and the same rows. Each block
+    holds the empty word too, so that blocks without words are not lost.
     """
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,7 +118,15 @@ def blocks(docs: DataFrame, folder: str, vocabulary: str, text: str = "text", ke
             row = {"keys": [keys], "counts": [planes(np.array(counts))], "slots": [planes(rank[old[1:]])]}
             pq.write_table(pa.table(row), f"{root}/{block}-{(attempt := uuid.uuid4().hex)}", filesystem=fs)
             fs.move(f"{root}/{block}-{attempt}", f"{root}/{block}")
-            return pa.RecordBatch.from_arrays([pa.array(index.keys(), pa.string()), pa.array([block] * len(index), pa.int64()), pa.array(rank.astype("<i4"))], names=["word", "block", "slot"])
+            words = list(index)
+            part = np.fromiter((zlib.crc32(w.encode()) % parts for w in words), "<u4", len(words))
+            order = np.lexsort((rank, part))
+            cuts = np.flatnonzero(np.diff(part[order], prepend=-1)).tolist()
+            out = []
+            for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
+                some = order[a:b]
+                out.append((int(part[some[0]]), block, planes(np.diff(rank[some].astype(np.int64), prepend=0)), *strings([words[i] for i in some.tolist()])))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["part", "block", "slots", "lengths", "words"])
 
         for batch in batches:
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -120,11 +145,14 @@ def blocks(docs: DataFrame, folder: str, vocabulary: str, text: str = "text", ke
         if keys:
             yield close()
 
-    return docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(split, "word string, block long, slot int")
+    return docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(split, "part int, block long, slots binary, lengths binary, words binary")
 
 
 def encoded_words(words: DataFrame, vocabulary: str) -> DataFrame:
-    """Rows (block, slot, ids): the words dealt and sorted by word, each run of equal words encoded once."""
+    """Rows (block, slots, counts, ids): all rows of a part meet in one task, which encodes each distinct word once.
+
+    A task holds the distinct words of its parts, and one row at a time.
+    """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
@@ -132,21 +160,21 @@ def encoded_words(words: DataFrame, vocabulary: str) -> DataFrame:
         tokenizer = Tokenizer.from_file(vocabulary)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        last, last_ids = None, b""
+        part, table = None, {}
         for batch in batches:
-            word = batch.column(0).dictionary_encode()
-            # The first run of a batch may go on from the batch before.
-            known = word.dictionary.to_pylist()
-            new = [w for w in known if w != last]
-            table = dict(zip(new, (np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-            if last is not None:
-                table.setdefault(last, last_ids)
-            last = batch.column(0)[batch.num_rows - 1].as_py() if batch.num_rows else last
-            last_ids = table.get(last, b"")
-            ids = pa.array([table[w] for w in known], pa.binary()).take(word.indices)
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), ids], names=["block", "slot", "ids"])
+            out = []
+            for row in batch.to_pylist():
+                if row["part"] != part:
+                    part, table = row["part"], {}
+                known = unstrings(row["lengths"], row["words"])
+                new = [w for w in known if w not in table]
+                table.update(zip(new, (np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+                ids = [table[w] for w in known]
+                out.append((row["block"], row["slots"], planes(np.array([len(x) // 4 for x in ids])), planes(np.frombuffer(b"".join(ids), "<u4"))))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["block", "slots", "counts", "ids"])
 
-    return words.repartition("word").sortWithinPartitions("word").mapInArrow(encode, "block long, slot int, ids binary")
+    return words.repartition("part").sortWithinPartitions("part").mapInArrow(encode, "block long, slots binary, counts binary, ids binary")
 
 
 def piece_table(vocabulary: str) -> list[bytes]:
@@ -164,34 +192,44 @@ def piece_table(vocabulary: str) -> list[bytes]:
 def encode_decode(docs: DataFrame, vocabulary: str, text: str = "text", key: str = "doc_id", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Rows (key, ids, decoded) of all texts. ``vocabulary`` is a tokenizer file that all executors can read.
 
-    The words cross the network once by word, where each distinct one is encoded, and once by block. The ids of a block's distinct words are joined with the pieces of the vocabulary, a table of bounded
+    The words cross the network, packed, once by word, where each distinct one is encoded, and once by block. The ids of a block's distinct words are joined with the pieces of the vocabulary, a table of bounded
     size that each task holds.
     """
     folder = scratch_path(docs.sparkSession, "bpe-positions")
-    back = encoded_words(blocks(docs, folder, vocabulary, text, key, block_chars), vocabulary)
-
-    def assemble(group: pa.Table) -> pa.Table:
+    parts = min(MOST_PARTS, PARTS_A_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    back = encoded_words(blocks(docs, folder, vocabulary, parts, text, key, block_chars), vocabulary)
+
+    def assemble(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids_of: dict[int, bytes] = {}
+        for batch in group:
+            for block, slots, counts, ids in zip(*(batch.column(c).to_pylist() for c in ("block", "slots", "counts", "ids")), strict=True):
+                raw, ends = unplanes(ids).tobytes(), (4 * np.cumsum(unplanes(counts).astype(np.int64))).tolist()
+                where = np.cumsum(unplanes(slots).astype(np.int64)).tolist()
+                ids_of.update((s, raw[a:b]) for s, a, b in zip(where, [0, *ends], ends, strict=False))
         fs, root = file_system(folder)
-        row = pq.read_table(f"{root}/{group.column('block')[0].as_py()}", filesystem=fs).to_pylist()[0]
+        row = pq.read_table(f"{root}/{block}", filesystem=fs).to_pylist()[0]
         pieces = piece_table(vocabulary)
-        ids_of = [b""] * group.num_rows
-        for slot, ids in zip(group.column("slot").to_pylist(), group.column("ids").to_pylist(), strict=True):
-            ids_of[slot] = ids
-        length = np.array([len(x) // 4 for x in ids_of], np.int64)
-        flat, ends = np.frombuffer(b"".join(ids_of), "<u4"), np.cumsum(length)
-        decoded_ids = flat.tolist()
-        raw = [b"".join([pieces[i] for i in decoded_ids[e - n : e]]) for e, n in zip(ends.tolist(), length.tolist(), strict=True)]
-        slots, at = unplanes(row["slots"]), 0
-        ids, decoded = [], []
-        for n in unplanes(row["counts"]).tolist():
-            which = slots[at : at + n]
-            at += n
+        length = np.array([len(ids_of[i]) // 4 for i in range(len(ids_of))], np.int64)
+        flat, ends = np.frombuffer(b"".join(ids_of[i] for i in range(len(ids_of))), "<u4").astype(np.int32), np.cumsum(length)
+        del ids_of
+        each = flat.tolist()
+        decoded_words = [b"".join([pieces[i] for i in each[e - n : e]]) for e, n in zip(ends.tolist(), length.tolist(), strict=True)]
+        del each
+        slots, counts = unplanes(row["slots"]), unplanes(row["counts"]).astype(np.int64)
+        bounds, keys = np.concatenate([[0], np.cumsum(counts)]), row["keys"]
+        a = 0
+        while a < len(keys):
+            # Texts leave in runs of bounded size, each of one text at least.
+            b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + RUN_WORDS, side="right")) - 1)
+            which = slots[bounds[a] : bounds[b]]
             size = length[which]
-            start = (ends[which] - size) - (np.cumsum(size) - size)
-            ids.append(flat[np.repeat(start, size) + np.arange(size.sum())] if n else flat[:0])
-            decoded.append(b"".join([raw[i] for i in which.tolist()]).decode("utf-8", "replace"))
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-        values = pa.array(np.concatenate(ids).astype(np.int32), pa.int32())
-        return pa.table({"key": pa.array(row["keys"], pa.int64()), "ids": pa.ListArray.from_arrays(offsets, values), "decoded": pa.array(decoded, pa.string())})
+            stops = np.cumsum(size)
+            ids = flat[np.repeat(ends[which] - stops, size) + np.arange(size.sum())]
+            at = bounds[a : b + 1] - bounds[a]
+            offsets = np.concatenate([[0], stops])[at].astype(np.int32)
+            words = [decoded_words[i] for i in which.tolist()]
+            decoded = [b"".join(words[i:j]).decode("utf-8", "replace") for i, j in zip(at.tolist(), at[1:].tolist(), strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[a:b], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())), pa.array(decoded, pa.string())], names=["key", "ids", "decoded"])
+            a = b
 
     return back.groupBy("block").applyInArrow(assemble, "key long, ids array<int>, decoded string")
