@@ -5,13 +5,380 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-FLAGSHIP = "line_index"
+from folioweave.operators import blocks as B
+from folioweave.operators import graph as G
+from folioweave.operators import text as T
+from folioweave.session import table
+from folioweave.sources import bindings as S
+from folioweave.streaming import state as X
 
+FLAGSHIP = "line_groups"
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+def lines_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.line_index(S.books(spark, sf_dir))
+
+
+def groups_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.line_groups(T.assignments(lines_of(spark, sf_dir)))
+
+
+def kinds_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.semantic_kind(S.blocks(lines_of(spark, sf_dir)))
+
+
+def quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+# Common table expressions of the oracles.
+LINES = S.BOOKS_SQL + r""",
+cut AS (SELECT doc_id, string_split_regex(body, '\r\n|\r|\n') AS t, regexp_extract_all(body, '\r\n|\r|\n') AS s FROM books),
+idx AS (SELECT doc_id, unnest(range(1, len(t) + 1)) AS line_no, t, s FROM cut),
+lines AS (SELECT doc_id, line_no, text, sep_end - size AS start, sep_end - size + length(text) AS stop, sep_end FROM (SELECT *, (sum(size) OVER (PARTITION BY doc_id ORDER BY line_no))::BIGINT AS sep_end FROM
+ (SELECT doc_id, line_no::BIGINT AS line_no, t[line_no] AS text, length(t[line_no]) + coalesce(length(s[line_no]), 0) AS size FROM idx)))"""
+NUMBER = f"regexp_extract(text, {quoted(T.HEADING)}, 1)"
+LEVEL = f"(CASE WHEN regexp_matches(text, {quoted(T.CHAPTER)}) THEN 1 WHEN {NUMBER} <> '' THEN least(length({NUMBER}) - length(replace({NUMBER}, '.', '')) + 1, 6) ELSE 2 END)::INT"
+ASSIGNED = LINES + f""",
+kinded AS (SELECT doc_id, line_no, text, CASE WHEN regexp_matches(text, {quoted(T.HEADING)}) OR regexp_matches(text, {quoted(T.CHAPTER)}) THEN 'heading' WHEN regexp_matches(text, {quoted(T.CAPTION)}) THEN 'caption' WHEN regexp_matches(text, {quoted(T.LIST_ITEM)}) THEN 'list_item' ELSE 'paragraph' END AS kind,
+ coalesce(regexp_matches(lag(text) OVER (PARTITION BY doc_id ORDER BY line_no), {quoted(T.TERMINAL)}), true) AS after FROM lines),
+assigned AS (SELECT doc_id, line_no, text, kind, (kind <> 'paragraph' OR after) AS starts_new, CASE WHEN kind = 'heading' THEN {LEVEL} END AS level FROM kinded WHERE text <> '')"""
+WINDOWED = ASSIGNED + """,
+win AS (SELECT doc_id, line_no, text, unnest(range(greatest(0, ceil((line_no - 80) / 68.0)::BIGINT), least((line_no - 1) // 68, last) + 1)) AS w FROM (SELECT *, greatest(0, ceil((max(line_no) OVER (PARTITION BY doc_id) - 80) / 68.0)::BIGINT) AS last FROM lines)),
+votes AS (SELECT doc_id, line_no, w, kind, starts_new OR line_no = first AS starts_new, level FROM (SELECT doc_id, line_no, w, min(line_no) OVER (PARTITION BY doc_id, w) AS first FROM win WHERE text <> '') JOIN assigned USING (doc_id, line_no))"""
+GROUPS = ASSIGNED + """,
+flagged AS (SELECT *, (starts_new OR coalesce(NOT (lag(kind) OVER o IS NOT DISTINCT FROM kind AND lag(level) OVER o IS NOT DISTINCT FROM level AND line_no - lag(line_no) OVER o = 1), true))::INT AS new FROM assigned WINDOW o AS (PARTITION BY doc_id ORDER BY line_no)),
+numbered AS (SELECT *, (sum(new) OVER (PARTITION BY doc_id ORDER BY line_no))::BIGINT AS group_no FROM flagged),
+groups AS (SELECT doc_id, group_no, min(line_no) AS first_line, max(line_no) AS last_line, max(kind) AS kind, max(level) AS level FROM numbered GROUP BY doc_id, group_no)"""
+TREE = GROUPS + """,
+tree AS (SELECT g.doc_id, g.group_no, g.kind, g.level, max(p.group_no) AS parent FROM groups g LEFT JOIN groups p ON g.doc_id = p.doc_id AND p.group_no < g.group_no AND p.kind = 'heading' AND (g.kind <> 'heading' OR p.level < g.level) GROUP BY ALL)"""
+NODES = TREE + """,
+nodes AS (SELECT doc_id, 'n_' || substr(sha256(doc_id || chr(31) || group_no), 1, 24) AS node, CASE WHEN parent IS NOT NULL THEN 'n_' || substr(sha256(doc_id || chr(31) || parent), 1, 24) END AS parent_node, kind, level, group_no AS ord FROM tree)"""
+PATHS = TREE.replace("books AS", "RECURSIVE books AS", 1) + """,
+walk AS (SELECT doc_id, group_no, [group_no] AS path FROM tree WHERE parent IS NULL UNION ALL SELECT t.doc_id, t.group_no, list_append(w.path, t.group_no) FROM tree t JOIN walk w ON t.doc_id = w.doc_id AND t.parent = w.group_no),
+placed AS (SELECT doc_id, group_no, (len(path) - 1)::BIGINT AS depth, row_number() OVER (PARTITION BY doc_id ORDER BY path) - 1 AS node_order FROM walk)"""
+LABEL = "translate(lower(trim(raw_kind)), ' -', '__')"
+KIND = "CASE " + " ".join(f"WHEN {LABEL} IN ({', '.join(quoted(x) for x in v.split())}) THEN '{k}'" for k, v in B.KINDS.items()) + " ELSE 'unknown' END"
+KINDS = LINES + ",\n" + S.BLOCKS_SQL + f""",
+kinds AS (SELECT *, {KIND} AS kind, {LABEL} IN ({', '.join(map(quoted, B.FURNITURE))}) AS furniture FROM blocks)"""
+ORDERED = KINDS + """,
+ordered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, top, line_no) - 1 AS ord FROM kinds WHERE NOT furniture)"""
+FLAT = r"regexp_replace(regexp_replace(translate(text, '　', ' '), '[ \t\n\r\f\v]+', ' ', 'g'), '^ | $', '', 'g')"
+
+
+@query(f"WITH {LINES} SELECT doc_id, line_no, start, stop, sep_end, text FROM lines")
+def line_index(spark, sf_dir):
+    return lines_of(spark, sf_dir).select("doc_id", "line_no", "start", "stop", "sep_end", "text")
+
+
+@query(f"""WITH RECURSIVE {LINES},
+fold AS (SELECT doc_id, line_no, 1::BIGINT AS unit, line_no AS first, start AS begin, sep_end FROM lines WHERE line_no = 1
+ UNION ALL SELECT l.doc_id, l.line_no, CASE WHEN l.line_no - f.first >= {T.UNIT_LINES} OR l.sep_end - f.begin > {T.UNIT_CHARS} THEN f.unit + 1 ELSE f.unit END, CASE WHEN l.line_no - f.first >= {T.UNIT_LINES} OR l.sep_end - f.begin > {T.UNIT_CHARS} THEN l.line_no ELSE f.first END,
+ CASE WHEN l.line_no - f.first >= {T.UNIT_LINES} OR l.sep_end - f.begin > {T.UNIT_CHARS} THEN l.start ELSE f.begin END, l.sep_end FROM fold f JOIN lines l ON l.doc_id = f.doc_id AND l.line_no = f.line_no + 1)
+SELECT doc_id, unit, min(line_no) AS first_line, max(line_no) AS last_line, max(sep_end) - min(begin) AS chars FROM fold GROUP BY doc_id, unit""")
+def source_units(spark, sf_dir):
+    return T.source_units(lines_of(spark, sf_dir))
+
+
+@query(f"WITH {LINES} SELECT doc_id, printf('L%06d', line_no) AS line_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS obs_order, text FROM lines WHERE text <> ''")
+def observations(spark, sf_dir):
+    return T.observations(lines_of(spark, sf_dir))
+
+
+@query(f"WITH {WINDOWED} SELECT doc_id, line_no, w FROM win")
+def line_windows(spark, sf_dir):
+    return T.line_windows(lines_of(spark, sf_dir)).select("doc_id", "line_no", "w")
+
+
+@query(f"WITH {ASSIGNED} SELECT doc_id, line_no, kind, starts_new, level FROM assigned")
+def line_assignments(spark, sf_dir):
+    return T.assignments(lines_of(spark, sf_dir)).drop("text")
+
+
+@query(f"""WITH {WINDOWED}, counted AS (SELECT doc_id, line_no, kind, starts_new, level, count(*) AS votes, min(w) AS w FROM votes GROUP BY ALL)
+SELECT doc_id, line_no, kind, starts_new, level, votes FROM counted QUALIFY row_number() OVER (PARTITION BY doc_id, line_no ORDER BY votes DESC, w) = 1""")
+def assignment_vote(spark, sf_dir):
+    return T.assignment_vote(T.window_votes(lines_of(spark, sf_dir)))
+
+
+@query(f"""WITH {WINDOWED}, per AS (SELECT doc_id, line_no, sum(n - 1) AS twice FROM (SELECT doc_id, line_no, w, count(*) AS n FROM votes GROUP BY ALL) GROUP BY ALL)
+SELECT doc_id, count(*) AS n_lines, count(twice) AS n_covered, sum((twice IS NULL)::INT)::BIGINT AS n_missing, coalesce(sum(twice), 0)::BIGINT AS n_twice FROM (SELECT * FROM lines WHERE text <> '') LEFT JOIN per USING (doc_id, line_no) GROUP BY doc_id""")
+def window_coverage(spark, sf_dir):
+    lines = lines_of(spark, sf_dir)
+    return T.window_coverage(lines, T.window_votes(lines))
+
+
+@query(f"""WITH {ASSIGNED}, k AS (SELECT *, trim(text) AS key FROM assigned WHERE length(trim(text)) <= 160 AND kind IN ('heading', 'paragraph')),
+g AS (SELECT *, (line_no - lag(line_no) OVER (PARTITION BY doc_id, key ORDER BY line_no) >= 2)::INT AS gap FROM k),
+a AS (SELECT doc_id, line_no, key, count(*) OVER p AS times, sum(gap) OVER p AS gaps, min(line_no) OVER p AS keeper FROM g WINDOW p AS (PARTITION BY doc_id, key))
+SELECT doc_id, line_no, key, times, keeper FROM a WHERE times >= 3 AND gaps >= 2 AND line_no <> keeper""")
+def running_headers(spark, sf_dir):
+    return T.running_headers(T.assignments(lines_of(spark, sf_dir)))
+
+
+@query(f"WITH {GROUPS} SELECT * FROM groups")
+def line_groups(spark, sf_dir):
+    return groups_of(spark, sf_dir)
+
+
+@query(f"WITH {TREE} SELECT * FROM tree")
+def heading_tree(spark, sf_dir):
+    return T.heading_tree(groups_of(spark, sf_dir))
+
+
+@query(f"""WITH {LINES}, f AS (SELECT doc_id, line_no, {FLAT} AS flat FROM lines)
+SELECT doc_id, line_no, flat, regexp_matches(flat, {quoted(T.TERMINAL)}) AS terminal, regexp_matches(flat, {quoted(T.HEADING_LIKE)}) AS heading_like, regexp_matches(flat, {quoted(T.CAPTION)}) AS caption, regexp_matches(flat, {quoted(T.TOC_LINE)}) AS toc_line FROM f""")
+def text_flags(spark, sf_dir):
+    return T.text_flags(lines_of(spark, sf_dir))
+
+
+@query(r"""SELECT doc_id, length(t)::BIGINT AS chars, sha256(t) AS sha, regexp_matches(t, '[\x00-\x08\x0B-\x1F]') AS rejected FROM (SELECT doc_id, regexp_replace(text, '\r\n|\r', chr(10), 'g') AS t FROM documents)""")
+def normalized_text(spark, sf_dir):
+    return T.normalize_text(table(spark, sf_dir, "documents"), "text")
+
+
+@query(f"WITH {KINDS} SELECT doc_id, line_no, kind, furniture FROM kinds")
+def semantic_kind(spark, sf_dir):
+    return kinds_of(spark, sf_dir).select("doc_id", "line_no", "kind", "furniture")
+
+
+@query(f"WITH {ORDERED} SELECT doc_id, line_no, page, ord FROM ordered")
+def reading_order(spark, sf_dir):
+    return B.reading_order(kinds_of(spark, sf_dir)).select("doc_id", "line_no", "page", "ord")
+
+
+@query(f"WITH {KINDS} SELECT doc_id, line_no, kind, CASE WHEN kind = 'title' THEN 1 ELSE {LEVEL} END AS level FROM kinds WHERE kind IN ('title', 'heading')")
+def heading_levels(spark, sf_dir):
+    return B.heading_levels(kinds_of(spark, sf_dir))
+
+
+TOC_BODY = "h || ' ..... ' || (1 + doc_id % 300) || chr(10) || chr(10) || 'Part ' || (doc_id % 7) || '  ' || (2 + doc_id % 300) || chr(10) || 'plain'"
+
+
+@query(f"""WITH {S.BOOKS_SQL}, b AS (SELECT doc_id, string_split(body, chr(10))[1] AS h FROM books), x AS (SELECT doc_id, {TOC_BODY} AS body FROM b),
+l AS (SELECT doc_id, list_filter(list_transform(string_split(body, chr(10)), lambda s: trim(s)), lambda s: s <> '') AS ls FROM x),
+k AS (SELECT * FROM l WHERE len(list_filter(ls, lambda s: regexp_matches(s, {quoted(T.TOC_LINE)}))) >= 2)
+SELECT doc_id, printf('toc:%04d', i) AS item_id, ls[i] AS item FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM k)""")
+def toc_items(spark, sf_dir):
+    head = S.books(spark, sf_dir).select("doc_id", F.split("body", "\n")[0].alias("h"))
+    body = F.concat("h", F.lit(" ..... "), 1 + F.col("doc_id") % 300, F.lit("\n\nPart "), F.col("doc_id") % 7, F.lit("  "), 2 + F.col("doc_id") % 300, F.lit("\nplain"))
+    return B.toc_items(head.select("doc_id", body.alias("body")), "body")
+
+
+PX = "greatest(0, least(1000, round_even({} * 1000, 0)::INT))"
+
+
+@query(f"""WITH {KINDS}, b AS (SELECT doc_id, line_no, raw_kind, confidence, {PX.format('l')} AS x1, {PX.format('top')} AS y1, {PX.format('r')} AS x2, {PX.format('bottom')} AS y2 FROM kinds)
+SELECT doc_id, line_no, x1, y1, x2, y2, (least(x2 - x1, y2 - y1) >= CASE WHEN {LABEL} IN ('figure', 'table') THEN 12 ELSE 8 END AND confidence >= 0.5) AS passes, (y2 <= 80 OR y1 >= 920) AS in_band FROM b""")
+def boxes(spark, sf_dir):
+    return B.boxes(kinds_of(spark, sf_dir))
+
+
+@query(f"""WITH {KINDS}, c AS (SELECT doc_id, page, line_no AS cap, top AS ct, bottom AS cb, l AS cl, r AS cr, CASE WHEN starts_with({LABEL}, 'table') THEN 'table' ELSE 'figure' END AS wants FROM kinds WHERE kind = 'caption'),
+v AS (SELECT doc_id, page, line_no AS visual, kind AS wants, top, bottom, l, r FROM kinds WHERE kind IN ('figure', 'table')),
+p AS (SELECT doc_id, cap, visual, greatest(0, ct - bottom, top - cb) AS gap, greatest(0, least(cr, r) - greatest(cl, l)) / greatest(1e-9, least(cr - cl, r - l)) AS overlap, abs((cl + cr) / 2 - (l + r) / 2) AS center FROM c JOIN v USING (doc_id, page, wants)),
+s AS (SELECT doc_id, cap, visual, round(gap + 0.35 * center + 0.05 * (1 - least(1.0, overlap)), 6) AS score FROM p WHERE gap <= 0.18 AND (overlap >= 0.40 OR center <= 0.16)),
+o AS (SELECT *, row_number() OVER w AS place, lead(score) OVER w AS nxt FROM s WINDOW w AS (PARTITION BY doc_id, cap ORDER BY score, visual))
+SELECT doc_id, cap, visual, score, coalesce(nxt - score < 0.025, false) AS ambiguous FROM o WHERE place = 1""")
+def caption_join(spark, sf_dir):
+    return B.caption_join(kinds_of(spark, sf_dir))
+
+
+@query(f"""WITH {ORDERED}, f AS (SELECT doc_id, line_no, kind, text, page, top, lag(kind) OVER o AS pk, lag(text) OVER o AS pt, lag(page) OVER o AS pp, lag(bottom) OVER o AS pb, lag(line_no) OVER o AS pl FROM ordered WINDOW o AS (PARTITION BY doc_id ORDER BY ord))
+SELECT doc_id, line_no, pl AS prev_line, pt || CASE WHEN regexp_matches(right(pt, 1), '[一-鿿]') OR regexp_matches(left(text, 1), '[一-鿿]') THEN '' ELSE ' ' END || text AS joined FROM f
+WHERE kind = 'paragraph' AND pk = 'paragraph' AND page = pp + 1 AND pb >= 0.82 AND top <= 0.18 AND NOT regexp_matches(pt, {quoted(B.SENTENCE_END)})""")
+def para_merge(spark, sf_dir):
+    return B.para_merge(B.reading_order(kinds_of(spark, sf_dir)))
+
+
+@query(f"""WITH {KINDS}, i AS (SELECT doc_id, line_no, {FLAT} AS key FROM kinds WHERE bottom <= 0.08 OR top >= 0.92)
+SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, key) AS times FROM i WHERE key <> '') WHERE times >= 2""")
+def header_footer(spark, sf_dir):
+    return B.repeated_band_text(kinds_of(spark, sf_dir))
+
+
+@query(f"""WITH {LINES}, p AS (SELECT doc_id, text, count(*) AS n FROM lines WHERE trim(text) <> '' GROUP BY ALL), a AS (SELECT doc_id, sum(length(text) * n)::BIGINT AS chars, sum(n)::BIGINT AS lines, sum(n - 1) AS dup, sum(contains(text, chr(65533))::INT) AS bad FROM p GROUP BY doc_id)
+SELECT doc_id, chars, lines, CASE WHEN chars < 120 THEN 'sparse' WHEN lines < 4 THEN 'few_lines' WHEN bad > 0 THEN 'replacement' WHEN dup / lines > 0.25 THEN 'duplicate_lines' ELSE 'ok' END AS reason FROM a""")
+def native_health(spark, sf_dir):
+    return B.native_health(lines_of(spark, sf_dir))
+
+
+@query(f"WITH {NODES} SELECT *, row_number() OVER (PARTITION BY doc_id, coalesce(parent_node, '<root>') ORDER BY ord, node) - 1 AS sibling FROM nodes")
+def sibling_order(spark, sf_dir):
+    return G.sibling_order(G.nodes(T.heading_tree(groups_of(spark, sf_dir))))
+
+
+BROKEN = "SELECT doc_id, CASE WHEN doc_id % 11 = 3 THEN 'n_same' ELSE node END AS node, CASE WHEN doc_id % 7 = 2 AND ord = 2 THEN 'n_gone' WHEN doc_id % 7 = 3 AND ord = 2 THEN node ELSE parent_node END AS parent_node, kind, level, ord FROM nodes WHERE doc_id % 11 <> 3 OR parent_node IS NULL"
+
+
+@query(f"""WITH {NODES}, b AS ({BROKEN}),
+i AS (SELECT b.doc_id, CASE WHEN b.parent_node = b.node THEN 'self_parent' WHEN p.node IS NULL THEN 'missing_parent' WHEN p.ord >= b.ord THEN 'order_inversion' END AS code FROM b LEFT JOIN b p ON b.doc_id = p.doc_id AND b.parent_node = p.node WHERE b.parent_node IS NOT NULL
+ UNION ALL SELECT doc_id, 'repeated_id' FROM (SELECT doc_id, node, count(*) AS c FROM b GROUP BY ALL) WHERE c > 1)
+SELECT doc_id, code, count(*) AS issues FROM i WHERE code IS NOT NULL GROUP BY ALL""")
+def graph_issues(spark, sf_dir):
+    n = G.nodes(T.heading_tree(groups_of(spark, sf_dir)))
+    d, o = F.col("doc_id"), F.col("ord")
+    broken = n.where((d % 11 != 3) | F.col("parent_node").isNull()).select(
+        "doc_id", F.when(d % 11 == 3, "n_same").otherwise(F.col("node")).alias("node"), F.when((d % 7 == 2) & (o == 2), "n_gone").when((d % 7 == 3) & (o == 2), F.col("node")).otherwise(F.col("parent_node")).alias("parent_node"), "kind", "level", "ord"
+    )
+    return G.validate(broken)
+
+
+@query(f"WITH {PATHS} SELECT * FROM placed")
+def preorder(spark, sf_dir):
+    return G.preorder(T.heading_tree(groups_of(spark, sf_dir)))
+
+
+@query(f"""WITH {GROUPS} SELECT g.doc_id, row_number() OVER (PARTITION BY g.doc_id ORDER BY group_no) - 1 AS nav_order, coalesce(nullif(trim(text), ''), 'Untitled heading') AS label, coalesce(level, 1) AS level FROM groups g JOIN lines l ON g.doc_id = l.doc_id AND g.first_line = l.line_no WHERE kind = 'heading'""")
+def navigation(spark, sf_dir):
+    lines = lines_of(spark, sf_dir)
+    return G.navigation(T.line_groups(T.assignments(lines)), lines)
+
+
+@query(f"WITH {PATHS} SELECT doc_id, group_no, node_order, total > 15 AS has_more FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS total FROM placed) WHERE node_order >= 5 AND node_order < 15")
+def content_page(spark, sf_dir):
+    return G.content_page(G.preorder(T.heading_tree(groups_of(spark, sf_dir))), 5, 10)
+
+
+@query(f"WITH {PATHS} SELECT doc_id, group_no, (node_order // 10) * 10 AS window_start FROM placed")
+def content_around(spark, sf_dir):
+    return G.content_around(G.preorder(T.heading_tree(groups_of(spark, sf_dir))), 10)
+
+
+STATE = "CASE WHEN toxic = 1 THEN 'unavailable' WHEN quality = 0 THEN 'degraded' ELSE 'complete' END"
+
+
+@query(f"""SELECT source, count(*) FILTER (state = 'complete') AS n_complete, count(*) FILTER (state = 'degraded') AS n_degraded, count(*) FILTER (state = 'unavailable') AS n_unavailable,
+CASE WHEN count(*) FILTER (state = 'unavailable') = count(*) THEN 'unavailable' WHEN count(*) FILTER (state = 'complete') = count(*) THEN 'complete' ELSE 'degraded' END AS state FROM (SELECT source, {STATE} AS state FROM documents JOIN labels USING (doc_id)) GROUP BY source""")
+def recovery_summary(spark, sf_dir):
+    units = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id")
+    return G.recovery_summary(units.withColumn("state", G.recovery_states(units)), "source")
+
+
+@query(f"""WITH {KINDS}, p AS (SELECT doc_id, page, max((kind IN ('heading', 'title'))::INT) AS h, max((kind = 'unknown')::INT) AS u, min(confidence) AS c FROM kinds GROUP BY ALL),
+e AS (SELECT *, min(page) OVER (PARTITION BY doc_id) AS a, max(page) OVER (PARTITION BY doc_id) AS b FROM p),
+r AS (SELECT doc_id, page, list_filter(list_sort([CASE WHEN page = a THEN 'first_page' END, CASE WHEN page = b THEN 'last_page' END, CASE WHEN h = 1 THEN 'heading' END, CASE WHEN u = 1 THEN 'unknown' END, CASE WHEN c < 0.8 THEN 'low_ocr' END]), lambda x: x IS NOT NULL) AS rs FROM e),
+q AS (SELECT doc_id, page, rs, list_min(list_transform(rs, lambda x: list_position(['first_page', 'last_page', 'heading', 'unknown', 'degraded', 'low_ocr'], x) - 1))::INT AS priority FROM r WHERE len(rs) > 0)
+SELECT doc_id, page, array_to_string(rs, ',') AS reasons, priority, (row_number() OVER (PARTITION BY doc_id ORDER BY priority, page) - 1) // 16 AS batch FROM q""")
+def page_reasons(spark, sf_dir):
+    return G.page_reasons(kinds_of(spark, sf_dir))
+
+
+@query(f"""WITH {KINDS}, e AS (SELECT doc_id, min(page) AS a, max(page) AS b FROM kinds GROUP BY doc_id)
+SELECT doc_id, a AS page, CASE WHEN a = b THEN 'first_and_last' ELSE 'first' END AS boundary FROM e UNION ALL SELECT doc_id, b, 'last' FROM e WHERE a <> b""")
+def boundary_pages(spark, sf_dir):
+    return G.boundary_pages(kinds_of(spark, sf_dir))
+
+
+OPS_SQL = NODES + """,
+ops AS (SELECT doc_id, node, 'reclassify' AS op, CASE WHEN ord % 2 = 0 THEN 'heading' ELSE 'paragraph' END AS value, (80 + doc_id % 20) / 100.0::DOUBLE AS confidence FROM nodes WHERE ord % 3 = 0
+ UNION ALL SELECT doc_id, node, 'reclassify', 'heading', 0.95::DOUBLE FROM nodes WHERE ord % 6 = 0 OR ord % 9 = 0
+ UNION ALL SELECT doc_id, node, 'set_level', (1 + ord % 4)::VARCHAR, 0.92::DOUBLE FROM nodes WHERE ord % 4 = 0),
+merged AS (SELECT doc_id, node, op, CASE WHEN count(DISTINCT value) = 1 THEN min(value) END AS value, count(DISTINCT value) > 1 AS conflict, max(confidence) AS confidence FROM ops GROUP BY doc_id, node, op)"""
+
+
+def ops_of(n: DataFrame) -> DataFrame:
+    o, c = F.col("ord"), F.lit(0.95)
+    a = n.where(o % 3 == 0).select("doc_id", "node", F.lit("reclassify").alias("op"), F.when(o % 2 == 0, "heading").otherwise("paragraph").alias("value"), ((80 + F.col("doc_id") % 20) / 100.0).alias("confidence"))
+    b = n.where((o % 6 == 0) | (o % 9 == 0)).select("doc_id", "node", F.lit("reclassify").alias("op"), F.lit("heading").alias("value"), c.alias("confidence"))
+    d = n.where(o % 4 == 0).select("doc_id", "node", F.lit("set_level").alias("op"), (1 + o % 4).cast("string").alias("value"), F.lit(0.92).alias("confidence"))
+    return a.unionByName(b).unionByName(d)
+
+
+@query(f"WITH {OPS_SQL} SELECT * FROM merged")
+def patch_merge(spark, sf_dir):
+    return G.patch_merge(ops_of(G.nodes(T.heading_tree(groups_of(spark, sf_dir)))))
+
+
+@query(f"""WITH {OPS_SQL}, fit AS (SELECT doc_id, node, max(value) FILTER (op = 'reclassify') AS nk, max(CASE WHEN op = 'set_level' THEN value::INT END) AS nl FROM merged WHERE NOT conflict AND confidence >= 0.90 GROUP BY ALL)
+SELECT n.doc_id, n.node, coalesce(nk, kind) AS kind, CASE WHEN coalesce(nk, kind) = 'heading' THEN coalesce(nl, level, 1) END AS level, (nk IS NOT NULL OR nl IS NOT NULL) AS changed FROM nodes n LEFT JOIN fit USING (doc_id, node)""")
+def patch_apply(spark, sf_dir):
+    n = G.nodes(T.heading_tree(groups_of(spark, sf_dir)))
+    return G.patch_apply(n, G.patch_merge(ops_of(n)))
+
+
+@query(f"""WITH {KINDS}, f AS (SELECT doc_id, count(*) AS nodes, sum(length(text))::BIGINT AS chars, max((kind IN ('title', 'heading'))::INT) AS h, max((kind IN ('table', 'figure', 'list', 'code'))::INT) AS x FROM kinds WHERE page = 0 AND NOT furniture GROUP BY doc_id)
+SELECT doc_id, nodes, chars, (nodes <= 8 AND chars <= 160 AND h = 1 AND x = 0) AS is_cover FROM f""")
+def cover_page(spark, sf_dir):
+    return G.cover_page(kinds_of(spark, sf_dir))
+
+
+@query("""WITH c AS (SELECT l_orderkey AS table_id, l_linenumber % 3 AS r, l_suppkey % 4 AS c, 1 + l_partkey % 2 AS rowspan, 1 + l_suppkey % 2 AS colspan FROM lineitem),
+p AS (SELECT table_id, unnest(range(r, r + rowspan)) AS row, c, colspan FROM c), q AS (SELECT table_id, row, unnest(range(c, c + colspan)) AS col FROM p)
+SELECT table_id, row::BIGINT AS row, col::BIGINT AS col, count(*) AS claims FROM q GROUP BY ALL HAVING count(*) > 1""")
+def table_occupancy(spark, sf_dir):
+    cells = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS table_id", "cast(l_linenumber % 3 AS bigint) AS r", "cast(l_suppkey % 4 AS bigint) AS c", "1 + l_partkey % 2 AS rowspan", "1 + l_suppkey % 2 AS colspan")
+    return G.table_occupancy(cells)
+
+
+@query("""WITH r AS (SELECT page_id // 4 AS asset, page_id AS rendition, CASE page_id % 4 WHEN 0 THEN 'thumbnail' WHEN 1 THEN 'original' WHEN 2 THEN 'normalized' ELSE 'ocr_source' END AS role, page_id % 3 AS declared, page_id % 5 <> 2 AS available, CASE WHEN page_id % 7 = 0 THEN 'bad' ELSE 'src_' || substr(sha256(url), 1, 32) END AS ref FROM pages)
+SELECT asset, rendition, role FROM r WHERE available AND regexp_full_match(ref, 'src_[0-9a-f]{32}') QUALIFY row_number() OVER (PARTITION BY asset ORDER BY CASE role WHEN 'normalized' THEN 0 WHEN 'original' THEN 1 WHEN 'thumbnail' THEN 2 ELSE 3 END, declared, rendition) = 1""")
+def rendition_pick(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").selectExpr("page_id div 4 AS asset", "page_id AS rendition", "CASE page_id % 4 WHEN 0 THEN 'thumbnail' WHEN 1 THEN 'original' WHEN 2 THEN 'normalized' ELSE 'ocr_source' END AS role", "page_id % 3 AS declared", "page_id % 5 <> 2 AS available", "CASE WHEN page_id % 7 = 0 THEN 'bad' ELSE concat('src_', substr(sha2(url, 256), 1, 32)) END AS ref")
+    return G.rendition_pick(p)
+
+
+@query(f"WITH {GROUPS}, e AS (SELECT *, CASE WHEN kind = 'heading' THEN repeat('#', level) || ' ' WHEN kind IN ('paragraph', 'list_item') THEN '' END AS marker FROM groups) SELECT doc_id, group_no, marker, CASE WHEN marker IS NULL THEN upper(kind) || '_NOT_PROJECTED' END AS loss FROM e")
+def stream_projection(spark, sf_dir):
+    return G.stream_projection(groups_of(spark, sf_dir))
+
+
+STATUS_SQL = "CASE event_type WHEN 'signup' THEN 'created' WHEN 'view' THEN 'running' WHEN 'purchase' THEN 'succeeded' WHEN 'error' THEN 'failed' WHEN 'click' THEN 'cancelled' END"
+
+
+@query(f"""WITH s AS (SELECT event_id, user_id, ts, {STATUS_SQL} AS status FROM events), b AS (SELECT *, lag(status) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM s)
+SELECT event_id, user_id, before, status, CASE WHEN before IS NULL THEN status = 'created' ELSE before || '>' || status IN ({', '.join(map(quoted, X.ALLOWED))}) END AS allowed FROM b""")
+def run_transitions(spark, sf_dir):
+    return X.run_transitions(table(spark, sf_dir, "events"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, json_extract_string(props, '$.k')::BIGINT % 5 AS expected, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) AS i FROM events),
+f AS (SELECT user_id, day, i, (expected = 0)::BIGINT AS version FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.day, e.i, f.version + (e.expected = f.version % 5)::BIGINT FROM f JOIN e ON e.user_id = f.user_id AND e.day = f.day AND e.i = f.i + 1)
+SELECT user_id, day, max(i) AS n_events, max(version) AS version FROM f GROUP BY user_id, day""")
+def selection_replay(spark, sf_dir):
+    return X.selection_replay(table(spark, sf_dir, "events"))
+
+
+@query("""SELECT event_id, user_id, coalesce(ts <= granted + INTERVAL 20 MINUTE, false) AS alive FROM (SELECT *, last_value(CASE WHEN event_type = 'click' THEN ts END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS granted FROM events) WHERE event_type = 'view'""")
+def grant_replay(spark, sf_dir):
+    return X.grant_replay(table(spark, sf_dir, "events"))
+
+
+@query(f"""WITH {KINDS}, p AS (SELECT doc_id, page, sum(length(text) * 1000)::BIGINT AS px FROM kinds GROUP BY ALL), u AS (SELECT doc_id, page, (sum(px) OVER o)::BIGINT AS used, count(*) OVER o AS n FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY page))
+SELECT doc_id, page, used, (used <= 5000000 AND n <= 4) AS admitted FROM u""")
+def page_budget(spark, sf_dir):
+    pages = kinds_of(spark, sf_dir).groupBy("doc_id", "page").agg(F.sum(F.length("text") * 1000).alias("px"))
+    return X.page_budget(pages, 5_000_000, 4)
+
+
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
+def hourly_activity(spark, sf_dir):
+    return X.hourly_activity(table(spark, sf_dir, "events"))
+
+
+@query("SELECT source, lang, count(*) AS books, sum(length(text))::BIGINT AS chars, min(doc_id) AS first_id, max(doc_id) AS last_id FROM documents GROUP BY source, lang")
+def bookshelf(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("books"), F.sum(F.length("text")).cast("long").alias("chars"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
