@@ -31,6 +31,7 @@ from folioweave.session import materialize, scratch_path
 MAGIC = b"\x1f\x8b\x08"
 SPLIT = 16 << 20
 CHUNK = 1 << 20
+MOST_PARTS = 100_000
 EPOCH = "1970-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_DDL = "path string, position long, record_type string, id long, target string, payload_bytes long, payload_digest string, refers_to long, payload binary"
@@ -184,8 +185,10 @@ def parse(data: bytes) -> dict:
 def read(files: DataFrame, split: int = SPLIT, payload: bool = True) -> DataFrame:
     """The records of the files (rows with path and bytes), read by ranges of ``split`` bytes."""
     ranges = files.where("bytes > 0").select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split).cast("long"))).alias("start"))
-    # Dealt by place, so that the ranges of one file go to different tasks.
-    ranges = ranges.repartition(F.col("path"), F.col("start"))
+    # Dealt by place, so that the ranges of one file go to different tasks; as many parts as ranges, as Spark would
+    # else merge the ranges, whose rows are small, into few tasks.
+    parts = files.agg(F.sum(F.ceil(F.col("bytes") / split))).first()[0] or 1
+    ranges = ranges.repartition(max(1, min(int(parts), MOST_PARTS)), F.col("path"), F.col("start"))
 
     def get(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
