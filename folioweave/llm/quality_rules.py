@@ -22,6 +22,8 @@ from folioweave.session import fresh, materialize
 
 WORD_BREAKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
+#: Up to so many suspect hosts (names of domains) are broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 50_000
 FACTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 FACTS_DDL = ", ".join(f"{x} long" for x in FACTS)
 
@@ -108,7 +110,8 @@ def verdicts(counted: DataFrame, host: str = "source", facts: str = "facts", rul
     """``counted`` (rows with the counts) with ``kept``; ``base_failed`` and ``suspect_host`` join the counts.
 
     The rows are written once, as the hosts' sums must be complete before the first verdict. Sums by host combine
-    before the shuffle, and the join back is an equi-join on the host whose large side Spark can split.
+    before the shuffle; the suspect hosts come back by a broadcast while their count is within a checked bound,
+    else by an equi-join whose large side Spark can split.
     """
     rules = rules or Rules()
     kept, key = fresh(counted, "kept"), fresh(counted, "host_key")
@@ -117,7 +120,8 @@ def verdicts(counted: DataFrame, host: str = "source", facts: str = "facts", rul
     fails = rule_failures(F.col(facts), rules)
     hosts = host_table(counted.select(key, *(fails[x].alias(x) for x in STRICT)), key, rules)
     suspects = hosts.where("suspect").select(F.col(key).alias("_suspect_key"), F.lit(True).alias("_suspect"))
-    joined = counted.join(suspects, F.col(key).eqNullSafe(F.col("_suspect_key")), "left")
+    few = suspects.count() <= MOST_BROADCAST
+    joined = counted.join(F.broadcast(suspects) if few else suspects, F.col(key).eqNullSafe(F.col("_suspect_key")), "left")
     flag = F.coalesce(F.col("_suspect"), F.lit(False))
     strict = fails["symbols"] | fails["lines"] | fails["repeats"]
     return joined.select(
