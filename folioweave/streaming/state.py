@@ -58,5 +58,6 @@ def page_budget(pages: DataFrame, pixels: int, most_pages: int) -> DataFrame:
 
 def hourly_activity(events: DataFrame, late: str = "1 hour") -> DataFrame:
     """Events by type and hour; on a stream, hours close one watermark after their end."""
-    timed = events.withWatermark("ts", late) if events.isStreaming else events
+    # Watermarks take instants; files may hold local times.
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     return timed.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type", "n")
