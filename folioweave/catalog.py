@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from folioweave.operators import blocks as B
 from folioweave.operators import graph as G
+from folioweave.operators import refine as R
 from folioweave.operators import text as T
 from folioweave.session import table
 from folioweave.sources import bindings as S
@@ -382,3 +383,105 @@ def hourly_activity(spark, sf_dir):
 @query("SELECT source, lang, count(*) AS books, sum(length(text))::BIGINT AS chars, min(doc_id) AS first_id, max(doc_id) AS last_id FROM documents GROUP BY source, lang")
 def bookshelf(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("books"), F.sum(F.length("text")).cast("long").alias("chars"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
+
+
+# Refinement.
+OUTLINE = ASSIGNED + f""",
+cands AS (SELECT doc_id, line_no, level, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM assigned WHERE kind = 'heading'),
+owin AS (SELECT doc_id, line_no, unnest(range(greatest(0, ceil((i - {R.OUTLINE_WINDOW - 1}) / 100.0)::BIGINT), least(i // 100, greatest(0, ceil((n - {R.OUTLINE_WINDOW}) / 100.0)::BIGINT)) + 1)) AS w, level FROM cands),
+ovotes AS (SELECT doc_id, line_no, w, least(6, level + (CASE WHEN (line_no + w) % 3 = 0 THEN 1 ELSE 0 END))::INT AS level FROM owin),
+outline AS (SELECT doc_id, line_no, level, votes FROM (SELECT doc_id, line_no, level, count(*) AS votes, min(w) AS w FROM ovotes GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY doc_id, line_no ORDER BY votes DESC, w, level) = 1)"""
+
+
+def outline_votes_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Window votes: the default level, one lower in a third of the windows."""
+    lower = F.when((F.col("line_no") + F.col("w")) % 3 == 0, 1).otherwise(0)
+    return R.outline_windows(T.assignments(lines_of(spark, sf_dir))).withColumn("level", F.least(F.lit(6), F.col("level") + lower).cast("int"))
+
+
+@query(f"WITH {OUTLINE} SELECT doc_id, line_no, level, w FROM owin")
+def outline_windows(spark, sf_dir):
+    return R.outline_windows(T.assignments(lines_of(spark, sf_dir)))
+
+
+@query(f"WITH {OUTLINE} SELECT * FROM outline")
+def outline_vote(spark, sf_dir):
+    return R.outline_vote(outline_votes_of(spark, sf_dir))
+
+
+@query(f"WITH {OUTLINE} SELECT doc_id, line_no, a.kind, coalesce(o.level, a.level)::INT AS level FROM assigned a LEFT JOIN outline o USING (doc_id, line_no)")
+def outline_applied(spark, sf_dir):
+    return R.apply_outline(T.assignments(lines_of(spark, sf_dir)), R.outline_vote(outline_votes_of(spark, sf_dir)))
+
+
+TOC_LINES = "repeat(' ', line_no % 3) || CASE WHEN line_no % 4 = 0 THEN 'x ' ELSE '' END || '第' || line_no || '章 ' || substr(text, 1, 10 + 30 * (line_no % 5)) || '  卷' || line_no || ' ' || substr(text, 1, 20)"
+
+
+@query(f"""WITH {LINES}, t AS (SELECT doc_id, line_no, {TOC_LINES} AS t FROM lines WHERE text <> ''),
+c AS (SELECT doc_id, line_no, string_split(regexp_replace(t, '(^|\\s)({R.MARKER})', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS p FROM t WHERE length(t) <= {R.TOC_LINE_CHARS}),
+u AS (SELECT doc_id, line_no, unnest(range(1, len(p) + 1)) AS i, p FROM c),
+s AS (SELECT doc_id, line_no, trim(p[i]) AS entry, list_sum(list_transform(p[:i], lambda x: length(x)))::BIGINT - length(p[i]) + length(p[i]) - length(ltrim(p[i])) AS start FROM u WHERE length(trim(p[i])) > 0),
+k AS (SELECT *, count(*) OVER l AS n, max(length(entry)) OVER l AS longest, bool_and(regexp_matches(entry, '^({R.MARKER})')) OVER l AS marked, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY start)::INT AS entry_no FROM s WINDOW l AS (PARTITION BY doc_id, line_no))
+SELECT doc_id, line_no, entry_no, start, start + length(entry) AS stop, entry FROM k WHERE n >= 2 AND longest <= {R.TOC_ENTRY_CHARS} AND marked""")
+def compact_toc(spark, sf_dir):
+    lines = lines_of(spark, sf_dir).where("text <> ''")
+    made = F.expr(TOC_LINES.replace("repeat(' ', line_no % 3)", "repeat(' ', int(line_no % 3))").replace("30 * (line_no % 5)", "30 * int(line_no % 5)"))
+    return R.compact_toc(lines.withColumn("text", made))
+
+
+WRAPPED = f"(ends_with(b, '-') OR regexp_matches(f, {quoted(R.RIGHT_PUNCTUATION)}) OR regexp_matches(b, '{R.CJK}$') OR regexp_matches(f, '^{R.CJK}'))"
+PARAS = LINES + f""",
+flat AS (SELECT doc_id, line_no, {FLAT} AS f FROM lines),
+near AS (SELECT *, lag(f) OVER o AS b, lead(f) OVER o AS a FROM flat WINDOW o AS (PARTITION BY doc_id ORDER BY line_no)),
+joint AS (SELECT doc_id, line_no, coalesce(b = '' OR regexp_matches(b, {quoted(T.TERMINAL)}), true) AS new, coalesce(a <> '' AND NOT regexp_matches(f, {quoted(T.TERMINAL)}), false) AS goes_on, f, CASE WHEN {WRAPPED} THEN '' ELSE ' ' END AS glue FROM near WHERE f <> ''),
+piece AS (SELECT doc_id, line_no, (sum(new::INT) OVER (PARTITION BY doc_id ORDER BY line_no))::BIGINT AS para, CASE WHEN new THEN '' ELSE glue END || CASE WHEN goes_on AND ends_with(f, '-') THEN left(f, length(f) - 1) ELSE f END AS piece FROM joint),
+paras AS (SELECT doc_id, para, trim(string_agg(piece, '' ORDER BY line_no)) AS text FROM piece GROUP BY doc_id, para)"""
+
+
+@query(f"WITH {PARAS} SELECT * FROM paras")
+def wrapped_paragraphs(spark, sf_dir):
+    return R.paragraphs(lines_of(spark, sf_dir))
+
+
+@query(f"""WITH {PARAS}, n AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY para) AS norm FROM paras GROUP BY doc_id), x AS (SELECT doc_id, body AS raw, norm, length(regexp_replace(body, '[^一-鿿]', '', 'g')) AS c, length(regexp_replace(norm, '[^一-鿿]', '', 'g')) AS d FROM books JOIN n USING (doc_id))
+SELECT doc_id, length(raw)::BIGINT AS raw_chars, length(norm)::BIGINT AS normalized_chars, CASE WHEN length(norm) < 0.75 * length(raw) OR (c > 2 AND d < 0.75 * c) THEN 'raw' ELSE 'normalized' END AS chosen FROM x""")
+def safe_choice(spark, sf_dir):
+    paras = R.paragraphs(lines_of(spark, sf_dir)).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("para", "text"))).alias("p"))
+    both = S.books(spark, sf_dir).join(paras.select("doc_id", F.array_join(F.col("p.text"), "\n").alias("norm")), "doc_id")
+    return R.safe_choice(both, "body", "norm")
+
+
+DECOR = "page_header Page-Footer number aside_text text".split()
+
+
+@query(f"""WITH {KINDS}, d AS (SELECT doc_id, line_no, line_no % 5 AS k, (top + bottom) / 2 AS c FROM kinds)
+SELECT doc_id, line_no, CASE k WHEN 0 THEN 'header' WHEN 1 THEN 'footer' WHEN 3 THEN 'footnote' ELSE CASE WHEN c <= 0.2 THEN 'header' ELSE 'footer' END END AS kind, (k <> 2 OR c <= 0.2 OR c >= 0.8) AS sure FROM d WHERE k < 4""")
+def presentation_kind(spark, sf_dir):
+    named = F.element_at(F.array(*map(F.lit, DECOR)), (F.col("line_no") % 5 + 1).cast("int"))
+    return R.presentation_kind(kinds_of(spark, sf_dir).withColumn("raw_kind", named))
+
+
+@query(f"""WITH {KINDS}, b AS (SELECT doc_id, line_no, row_number() OVER (w ORDER BY line_no) - 1 AS i, count(*) OVER w AS n, min(top) OVER w AS t, max(bottom) OVER w - min(top) OVER w AS h FROM kinds WINDOW w AS (PARTITION BY doc_id, page, line_no // 7))
+SELECT doc_id, line_no, t + h * i / n AS slice_top, t + h * (i + 1) / n AS slice_bottom FROM b""")
+def toc_slices(spark, sf_dir):
+    return R.toc_slices(kinds_of(spark, sf_dir).withColumn("box", F.struct("page", F.expr("line_no div 7"))))
+
+
+@query(f"""WITH {ORDERED}, i AS (SELECT *, sum((kind <> 'caption')::INT) OVER (PARTITION BY doc_id, page ORDER BY ord) AS island FROM ordered),
+h AS (SELECT *, coalesce(max(line_no) FILTER (kind IN ('figure', 'table')) OVER (PARTITION BY doc_id, page, island), line_no) AS owner FROM i)
+SELECT doc_id, owner AS line_no, max(CASE WHEN owner = line_no THEN CASE WHEN kind = 'caption' THEN 'paragraph' ELSE kind END END) AS kind, min(l) AS l, min(top) AS top, max(r) AS r, max(bottom) AS bottom,
+ coalesce(string_agg(text, ' ' ORDER BY ord) FILTER (kind = 'caption' AND owner <> line_no), '') AS caption FROM h GROUP BY doc_id, owner""")
+def caption_absorb(spark, sf_dir):
+    return R.caption_absorb(B.reading_order(kinds_of(spark, sf_dir)))
+
+
+@query(f"""WITH {KINDS}, v AS (SELECT doc_id, page, kind, line_no, l, top, r, bottom FROM kinds WHERE kind IN ('figure', 'table')),
+c AS (SELECT doc_id, page, kind, 'r' || line_no AS id, l, top + 0.005::DOUBLE * (line_no % 4) AS top, r, bottom FROM v),
+p AS (SELECT c.doc_id, c.id, v.line_no AS keeper, greatest(0.0::DOUBLE, least(c.r, v.r) - greatest(c.l, v.l)) AS w, greatest(0.0::DOUBLE, least(c.bottom, v.bottom) - greatest(c.top, v.top)) AS h, (c.r - c.l) * (c.bottom - c.top) AS x, (v.r - v.l) * (v.bottom - v.top) AS y FROM c JOIN v USING (doc_id, page, kind)),
+m AS (SELECT doc_id, id, keeper, w * h / least(x, y) AS containment, least(x, y) / greatest(x, y) AS ratio FROM p WHERE least(x, y) > 0)
+SELECT doc_id, id, keeper FROM m WHERE containment >= 0.92 AND ratio >= 0.45 QUALIFY row_number() OVER (PARTITION BY doc_id, id ORDER BY containment DESC, ratio DESC, keeper) = 1""")
+def duplicate_visuals(spark, sf_dir):
+    box = ("l", "top", "r", "bottom")
+    v = kinds_of(spark, sf_dir).where("kind IN ('figure', 'table')").select("doc_id", "page", "kind", F.col("line_no").alias("id"), F.col("line_no").alias("ord"), *box)
+    shifted = v.select("doc_id", "page", "kind", F.concat(F.lit("r"), "id").alias("id"), "l", (F.col("top") + 0.005 * (F.col("ord") % 4)).alias("top"), "r", "bottom")
+    return R.duplicate_visuals(v, shifted)
