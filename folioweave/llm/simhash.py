@@ -175,11 +175,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
 
 def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row of each component: that with the smallest key, of repeated rows the first by place in the input."""
+    """One row of each component: that with the smallest key, of repeated rows or rows without a key the first by place in the input."""
     place, fp, comp = fresh(docs, "place"), fresh(docs, "fp"), fresh(docs, "component")
     marked = materialize(with_fingerprint(docs.withColumn(place, F.monotonically_increasing_id()), text, fp), "marked")
     slim = marked.select(F.col(place), F.col(f"`{key}`").alias("_key"), F.col(fp))
-    rows = group(slim, "_key", fp, comp)
-    chosen = rows.groupBy(comp).agg(F.min(F.when(F.col("_key").eqNullSafe(F.col(comp)), F.col(place))).alias("_kept"))
-    # A component without any key has no smallest one; its fingerprints' rows share the null, so the place decides.
+    # Places are never null, so components of rows without a key stay apart.
+    rows = group(slim, place, fp, comp)
+    chosen = rows.groupBy(comp).agg(F.min(F.struct(F.col("_key").isNull(), "_key", F.col(place).alias("place")))["place"].alias("_kept"))
     return marked.join(chosen.select("_kept"), F.col(place) == F.col("_kept"), "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -148,6 +148,13 @@ def test_simhash(spark):
     assert kept.count() == len(set(root)) and kept.columns == docs_of(spark).columns
 
 
+def test_keep_first_keeps_groups_without_ids_apart(spark):
+    a, b = "one two three four five six seven", "completely other words stand in this text here"
+    rows = [(None, a), (None, a), (None, b), (9, "x y z w"), (None, "x y z w"), (8, "x y z w")]
+    kept = simhash.keep_first(docs_of(spark, rows)).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == sorted([("None", a), ("None", b), ("8", "x y z w")])
+
+
 def test_top_k(spark):
     prepare(spark)
     rng = np.random.default_rng(5)
