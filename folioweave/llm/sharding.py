@@ -21,6 +21,8 @@ OVERHEAD = 16
 BUCKET_BYTES = 16 << 20
 #: Up to so many buckets (of 40 bytes at most each) their offsets are broadcast; beyond, they are joined by a shuffle.
 MOST_BROADCAST = 500_000
+#: Tasks of the scatter at most; beyond, a task takes several buckets, each still shuffled by itself.
+MOST_TASKS = 100_000
 
 
 def row_bytes(text: str) -> Column:
@@ -37,7 +39,7 @@ def shuffled(rows: DataFrame, text: str = "text", bucket_bytes: int = BUCKET_BYT
     buckets = max(1, -(-total // bucket_bytes))
     held = F.struct(F.monotonically_increasing_id().alias("place"), F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"))
     placed = rows.select(held.alias("held"))
-    scattered = placed.withColumn(bucket, F.pmod(F.xxhash64(F.col("held.place"), F.lit(seed)), F.lit(buckets))).repartition(buckets, bucket)
+    scattered = placed.withColumn(bucket, F.pmod(F.xxhash64(F.col("held.place"), F.lit(seed)), F.lit(buckets))).repartition(min(buckets, MOST_TASKS), bucket)
     # The list's order depends on how blocks arrive; sorted by place first, the shuffle starts from one order.
     lists = scattered.groupBy(bucket).agg(F.array_sort(F.collect_list("held"), lambda a, b: F.signum(a["place"] - b["place"]).cast("int")).alias("list"))
     mixed = lists.select(bucket, F.posexplode(F.shuffle("list", seed)).alias(at, "held"))
@@ -60,6 +62,12 @@ def shard(rows: DataFrame, shards: int = SHARDS, text: str = "text", bucket_byte
     return joined.select(*(F.col(f"`{c}`") for c in rows.columns), (position % shards).cast("int").alias(fresh(rows, "shard")), ((position - position % shards) / shards).cast("long").alias(fresh(rows, "slot")))
 
 
-def write_shards(sharded: DataFrame, folder: str) -> None:
-    """Write one folder of Parquet files per shard, rows in slot order."""
-    sharded.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(folder)
+def write_shards(sharded: DataFrame, folder: str, file_bytes: int = 256 << 20, text: str = "text") -> None:
+    """Write what ``shard`` returned as one folder of Parquet files per shard, the files and their rows in slot order.
+
+    Ranges of (shard, slot) are the tasks, so a shard of any size is written by many tasks in files of about
+    ``file_bytes``; a file holds rows of one shard only.
+    """
+    shard_name, slot = sharded.columns[-2:]
+    files = max(1, -(-(sharded.agg(F.sum(row_bytes(text))).first()[0] or 0) // file_bytes))
+    sharded.repartitionByRange(min(files, MOST_TASKS), shard_name, slot).sortWithinPartitions(shard_name, slot).write.partitionBy(shard_name).parquet(folder)

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -181,6 +182,18 @@ def test_sharding(spark):
     assert sharding.shard(docs_of(spark, [])).count() == 0
 
 
+def test_shards_are_written_in_slot_order_by_many_tasks(spark, tmp_path):
+    prepare(spark)
+    clash = docs_of(spark, [(i, f"text {i}") for i in range(300)]).withColumnRenamed("lang", "Shard").withColumnRenamed("kept", "slot")
+    out = sharding.shard(clash, shards=3, bucket_bytes=900)
+    sharding.write_shards(out, str(tmp_path / "s"), file_bytes=1_500)
+    files = sorted((tmp_path / "s").glob("shard_=*/*.parquet"))
+    assert len({f.parent.name for f in files}) == 3 and len(files) > 3
+    for k in range(3):
+        slots = [x for f in files if f.parent.name == f"shard_={k}" for x in pq.ParquetFile(f).read(["slot_"])["slot_"].to_pylist()]
+        assert slots == list(range(100))
+
+
 def test_quality_classifier(spark):
     prepare(spark)
     docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
