@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folioweave.operators import assembly as A
 from folioweave.operators import blocks as B
 from folioweave.operators import graph as G
 from folioweave.operators import refine as R
+from folioweave.operators import review as V
 from folioweave.operators import text as T
-from folioweave.session import table
+from folioweave.session import prepare, table
 from folioweave.sources import bindings as S
+from folioweave.sources import payloads as P
 from folioweave.streaming import state as X
 
 FLAGSHIP = "line_groups"
@@ -485,3 +488,226 @@ def duplicate_visuals(spark, sf_dir):
     v = kinds_of(spark, sf_dir).where("kind IN ('figure', 'table')").select("doc_id", "page", "kind", F.col("line_no").alias("id"), F.col("line_no").alias("ord"), *box)
     shifted = v.select("doc_id", "page", "kind", F.concat(F.lit("r"), "id").alias("id"), "l", (F.col("top") + 0.005 * (F.col("ord") % 4)).alias("top"), "r", "bottom")
     return R.duplicate_visuals(v, shifted)
+
+
+# Assembly of text.
+CONTENTS = "CASE line_no % 7 WHEN 0 THEN line_no || '章' WHEN 1 THEN trim(substr(text, 1, 20)) || ' ..... ' || line_no WHEN 2 THEN trim(substr(text, 1, 20)) || '   ' || line_no WHEN 3 THEN trim(substr(text, 1, 20)) || ' - ' || line_no WHEN 4 THEN '章节文字（' || line_no || '）' WHEN 5 THEN '目 录' ELSE CASE WHEN line_no % 2 = 0 THEN '杂音' ELSE '四字杂音' END END"
+
+
+def sql_any(x: str, *patterns: str) -> str:
+    return "(" + " OR ".join(f"regexp_matches({x}, {quoted(p)})" for p in patterns) + ")"
+
+
+def sql_strip(x: str) -> str:
+    return rf"regexp_replace({x}, '^[ \t　]+|[ \t　]+$', '', 'g')"
+
+
+def sql_title(x: str, pattern: str) -> str:
+    flat = FLAT.replace("translate(text,", f"translate(regexp_extract({x}, {quoted(pattern)}, 1),")
+    return sql_strip(f"regexp_replace({flat}, {quoted(A.LEADER + '+$')}, '')")
+
+
+def sql_match(x: str) -> str:
+    return sql_any(x, A.CONTENTS_HEADING, A.TITLE_LIKE, A.LEADER_LINE, A.SPACED_LINE, A.DASH_LINE, A.PAREN_LINE)
+
+
+def sql_noise(x: str) -> str:
+    return f"({x} = '' OR (NOT {sql_any(x, A.CONTENTS_HEADING, A.TITLE_LIKE, A.PAGE_TOKEN, '[A-Za-z0-9]')} AND {sql_any(x, A.NOISE_CJK)}))"
+
+
+PAREN_TITLE = sql_title("t", A.PAREN_LINE)
+ENTRY = (
+    f"CASE WHEN {sql_any('t', A.CONTENTS_HEADING)} THEN '目录' WHEN {sql_any('t', A.TITLE_LIKE)} THEN t WHEN {sql_noise('t')} THEN '' WHEN {sql_any('t', A.PAREN_LINE)} THEN CASE WHEN {PAREN_TITLE} = '' OR {sql_noise(PAREN_TITLE)} THEN '' ELSE {PAREN_TITLE} || '...' || regexp_extract(t, {quoted(A.PAREN_LINE)}, 2) END "
+    + " ".join(f"WHEN {sql_any('t', p)} THEN CASE WHEN {sql_title('t', p)} = '' THEN t ELSE {sql_title('t', p)} || '...' || regexp_extract(t, {quoted(p)}, 2) END" for p in (A.SPACED_LINE, A.DASH_LINE, A.LEADER_LINE))
+    + " ELSE t END"
+)
+CONTENTS_ROWS = LINES + f""",
+src AS (SELECT doc_id, (line_no - 1) // 6 AS block, line_no, {CONTENTS} AS text FROM lines),
+cl AS (SELECT doc_id, block, line_no, t FROM (SELECT *, {sql_strip('text')} AS t FROM src) WHERE t <> ''),
+ce AS (SELECT doc_id, block, line_no, t, lead(t) OVER (PARTITION BY doc_id, block ORDER BY line_no) AS nxt, {ENTRY} AS entry FROM cl)"""
+
+
+def contents_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines_of(spark, sf_dir).select("doc_id", F.expr("(line_no - 1) div 6").alias("block"), "line_no", F.expr(CONTENTS).alias("text"))
+
+
+@query(f"WITH {CONTENTS_ROWS} SELECT doc_id, line_no, entry FROM ce")
+def contents_entries(spark, sf_dir):
+    return contents_of(spark, sf_dir).select("doc_id", "line_no", A.contents_entry(A.strip(F.col("text"))).alias("entry"))
+
+
+@query(f"""WITH {CONTENTS_ROWS}, c AS (SELECT doc_id, block, count(*) AS n_lines, sum({sql_match('t')}::INT)::BIGINT AS matches, bool_or({sql_any('t', A.CONTENTS_HEADING, A.LEADER_LINE, A.SPACED_LINE, A.DASH_LINE, A.PAREN_LINE)}) AS one FROM cl GROUP BY ALL)
+SELECT doc_id, block, n_lines, matches, CASE WHEN n_lines = 1 THEN one ELSE matches >= greatest(2, n_lines // 2) END AS is_contents FROM c""")
+def contents_vote(spark, sf_dir):
+    return A.contents_vote(contents_of(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {CONTENTS_ROWS},
+r AS (SELECT doc_id, block, entry, row_number() OVER (PARTITION BY doc_id, block ORDER BY line_no) AS i, {sql_match('entry')} AS s, coalesce({sql_match('nxt')}, false) AND ({sql_noise('entry')} OR ({sql_any('entry', A.INLINE_NOISE_CJK)} AND NOT {sql_any('entry', A.TITLE_LIKE)})) AS g FROM ce WHERE entry <> ''),
+f AS (SELECT doc_id, block, i, entry, false AS gone, false AS a, s AS b FROM r WHERE i = 1
+ UNION ALL SELECT r.doc_id, r.block, r.i, r.entry, r.g AND (f.a OR f.b), CASE WHEN r.g AND (f.a OR f.b) THEN f.a ELSE f.b END, CASE WHEN r.g AND (f.a OR f.b) THEN f.b ELSE r.s END FROM f JOIN r ON r.doc_id = f.doc_id AND r.block = f.block AND r.i = f.i + 1)
+SELECT doc_id, block, row_number() OVER (PARTITION BY doc_id, block ORDER BY i) AS entry_no, entry FROM f WHERE NOT gone""")
+def contents_block(spark, sf_dir):
+    return A.contents_block(contents_of(spark, sf_dir))
+
+
+FORCED = ", ".join(map(quoted, A.FORCED))
+
+
+@query(f"""WITH {ORDERED},
+frag AS (SELECT doc_id, ord, CASE WHEN kind IN ('title', 'heading') THEN 'title' WHEN kind = 'caption' THEN 'caption' WHEN kind = 'figure' THEN 'image' WHEN kind = 'table' THEN 'table' ELSE 'text' END AS type, trim(coalesce(text, '')) AS text, page, {PX.format('l')} AS x1, {PX.format('top')} AS y1, {PX.format('bottom')} AS y2 FROM ordered),
+prev AS (SELECT *, lag(type) OVER o AS pt, lag(text) OVER o AS p, lag(page) OVER o AS pp, lag(x1) OVER o AS px, lag(y1) OVER o AS py1, lag(y2) OVER o AS py2 FROM frag WHERE type IN ('image', 'table') OR text <> '' WINDOW o AS (PARTITION BY doc_id ORDER BY ord)),
+brk AS (SELECT doc_id, ord, type, text, p, coalesce(pt IN ({FORCED}) OR type IN ({FORCED}) OR {sql_any('p', T.TERMINAL)} OR {sql_any('p', T.HEADING_LIKE)} OR {sql_any('text', T.HEADING_LIKE)}
+ OR CASE WHEN pp <> page THEN py2 / 1000 < 0.88 OR y1 / 1000 > 0.18 ELSE greatest(0, y1 - py2) > greatest(4, floor(greatest(1, py2 - py1, y2 - y1) * 0.08)) OR abs(x1 - px) > 25 OR length(p) < 12 END, true) AS new FROM prev),
+num AS (SELECT *, (sum(new::INT) OVER o)::BIGINT AS out_no, NOT coalesce(lead(new) OVER o, true) AS goes_on FROM brk WINDOW o AS (PARTITION BY doc_id ORDER BY ord)),
+pc AS (SELECT doc_id, ord, out_no, type, CASE WHEN new OR {WRAPPED.replace('(b,', '(p,').replace('(f,', '(text,')} THEN '' ELSE ' ' END || CASE WHEN goes_on AND ends_with(text, '-') THEN left(text, length(text) - 1) ELSE text END AS piece FROM num)
+SELECT * FROM (SELECT doc_id, out_no, max_by(type, ord) AS kind, trim(string_agg(piece, '' ORDER BY ord)) AS text FROM pc GROUP BY doc_id, out_no) WHERE text <> ''""")
+def output_lines(spark, sf_dir):
+    o = B.reading_order(kinds_of(spark, sf_dir))
+    px = lambda c: F.bround(F.col(c) * 1000, 0).cast("int").alias
+    kind = F.when(F.col("kind").isin("title", "heading"), "title").when(F.col("kind") == "caption", "caption").when(F.col("kind") == "figure", "image").when(F.col("kind") == "table", "table").otherwise("text")
+    return A.output_lines(o.select("doc_id", "ord", "line_no", kind.alias("type"), "text", "page", px("l")("x1"), px("top")("y1"), px("r")("x2"), px("bottom")("y2"), F.lit(1000).alias("page_width"), F.lit(1000).alias("page_height")))
+
+
+@query(f"""WITH RECURSIVE {ORDERED}, b AS (SELECT doc_id, ord, line_no, page, trim(text) AS text, CASE WHEN kind = 'paragraph' THEN 'text' ELSE kind END AS kind FROM ordered),
+n AS (SELECT *, lag(text) OVER o AS p, coalesce(kind = 'text' AND lag(kind) OVER o = 'text' AND lag(text) OVER o <> '' AND NOT {sql_any('lag(text) OVER o', A.CONTINUED_END)} AND {sql_any('text', A.CONTINUED_START)}, false) AS c FROM b WINDOW o AS (PARTITION BY doc_id ORDER BY ord)),
+f AS (SELECT doc_id, ord, line_no AS head, page AS hp, text AS piece FROM n WHERE ord = 0
+ UNION ALL SELECT n.doc_id, n.ord, CASE WHEN n.c AND n.page <> f.hp THEN f.head ELSE n.line_no END, CASE WHEN n.c AND n.page <> f.hp THEN f.hp ELSE n.page END,
+ CASE WHEN n.c AND n.page <> f.hp THEN CASE WHEN {sql_any('n.p', A.CJK + '$')} AND {sql_any('n.text', '^' + A.CJK)} THEN '' ELSE ' ' END ELSE '' END || n.text FROM f JOIN n ON n.doc_id = f.doc_id AND n.ord = f.ord + 1)
+SELECT doc_id, head, count(*) AS n_parts, string_agg(piece, '' ORDER BY ord) AS text FROM f GROUP BY doc_id, head HAVING count(*) > 1""")
+def cross_page_text(spark, sf_dir):
+    o = B.reading_order(kinds_of(spark, sf_dir))
+    return A.cross_page_text(o.select("doc_id", "ord", "line_no", "page", "text", F.when(F.col("kind") == "paragraph", "text").otherwise(F.col("kind")).alias("kind")))
+
+
+@query(f"""WITH RECURSIVE {LINES}, b AS (SELECT doc_id, line_no, (line_no - 1) // 25 AS page, CASE WHEN line_no % 25 < 2 THEN 'table' ELSE 'text' END AS kind, CASE WHEN line_no % 4 = 1 THEN 'T' || line_no ELSE '' END AS caption FROM lines),
+n AS (SELECT *, coalesce(kind = 'table' AND lag(kind) OVER (PARTITION BY doc_id ORDER BY line_no) = 'table' AND caption = '', false) AS c FROM b),
+f AS (SELECT doc_id, line_no, kind, page, line_no AS head, page AS hp, caption AS note FROM n WHERE line_no = 1
+ UNION ALL SELECT n.doc_id, n.line_no, n.kind, n.page, CASE WHEN n.c AND n.page <> f.hp THEN f.head ELSE n.line_no END, CASE WHEN n.c AND n.page <> f.hp THEN f.hp ELSE n.page END,
+ CASE WHEN n.c AND n.page <> f.hp THEN ' [continued from p' || f.hp || ' to p' || n.page || ']' ELSE n.caption END FROM f JOIN n ON n.doc_id = f.doc_id AND n.line_no = f.line_no + 1)
+SELECT doc_id, head, count(*) AS n_parts, trim(string_agg(note, '' ORDER BY line_no)) AS caption, max(line_no) AS continuation FROM f WHERE kind = 'table' GROUP BY doc_id, head HAVING count(*) > 1""")
+def cross_page_tables(spark, sf_dir):
+    lines = lines_of(spark, sf_dir)
+    return A.cross_page_tables(lines.select("doc_id", F.col("line_no").alias("ord"), "line_no", F.expr("(line_no - 1) div 25").alias("page"), F.expr("CASE WHEN line_no % 25 < 2 THEN 'table' ELSE 'text' END").alias("kind"), F.expr("CASE WHEN line_no % 4 = 1 THEN 'T' || line_no ELSE '' END").alias("caption")))
+
+
+NATIVE = {"page": "(line_no - 1) // 25", "x0": "(100 + CASE WHEN line_no % 5 = 0 THEN 40 ELSE 0 END)::DOUBLE", "y0": "(40 * ((line_no - 1) % 25))::DOUBLE", "y1": "(40 * ((line_no - 1) % 25) + CASE WHEN line_no % 9 = 0 THEN 2 ELSE 30 END)::DOUBLE", "x1": "(500 + 20 * (line_no % 3))::DOUBLE", "font": "(10 + CASE WHEN line_no % 13 = 0 THEN 2 WHEN line_no % 11 = 0 THEN 0.5 ELSE 0 END)::DOUBLE"}
+NATIVE_KINDS = LINES + f""",
+nat AS (SELECT doc_id, line_no, trim(text) AS text, {', '.join(f'{v} AS {k}' for k, v in NATIVE.items())} FROM lines),
+nb AS (SELECT *, quantile_cont(font, 0.5) OVER (PARTITION BY doc_id, page) AS body FROM nat),
+nk AS (SELECT *, CASE WHEN y0 >= 880 AND {sql_any('text', A.NATIVE_NUMBER)} THEN 'number' WHEN length(text) <= 80 AND (font >= body * 1.10::DOUBLE OR (abs((x0 + x1) / 2 - 500) <= 180 AND font >= body * 1.03::DOUBLE)) THEN 'paragraph_title' ELSE 'text' END AS kind FROM nb)"""
+
+
+def native_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = (F.expr(v.replace("//", "div")).alias(k) for k, v in NATIVE.items())
+    return lines_of(spark, sf_dir).select("doc_id", "line_no", "text", *made, F.lit(1000.0).alias("width"), F.lit(1000.0).alias("height"))
+
+
+@query(f"WITH {NATIVE_KINDS} SELECT doc_id, line_no, kind, body FROM nk")
+def native_kinds(spark, sf_dir):
+    return A.native_kinds(native_of(spark, sf_dir)).select("doc_id", "line_no", "kind", "body")
+
+
+FITS = f"(n.kind = 'text' AND f.kind = 'text' AND n.y0 - f.y1 <= greatest(1, n.y1 - n.y0, f.y1 - f.y0) * 1.15::DOUBLE AND NOT (n.ind AND {sql_any('f.text', A.NATIVE_END)}))"
+
+
+@query(f"""WITH RECURSIVE {NATIVE_KINDS},
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY line_no) AS i, x0 >= coalesce(min(x0) FILTER (kind = 'text') OVER (PARTITION BY doc_id, page), 0) + 25 AS ind FROM nk WHERE text <> ''),
+f AS (SELECT doc_id, page, i, 0::BIGINT AS block, kind, 1::BIGINT AS n_lines, y0, y1, text FROM n WHERE i = 1
+ UNION ALL SELECT n.doc_id, n.page, n.i, CASE WHEN {FITS} THEN f.block ELSE f.block + 1 END, n.kind, CASE WHEN {FITS} THEN f.n_lines + 1 ELSE 1 END, CASE WHEN {FITS} THEN least(f.y0, n.y0) ELSE n.y0 END, CASE WHEN {FITS} THEN greatest(f.y1, n.y1) ELSE n.y1 END,
+ CASE WHEN {FITS} THEN f.text || CASE WHEN {sql_any('right(f.text, 1)', A.NATIVE_CJK)} OR {sql_any('left(n.text, 1)', A.NATIVE_CJK)} THEN '' ELSE ' ' END || n.text ELSE n.text END FROM f JOIN n ON n.doc_id = f.doc_id AND n.page = f.page AND n.i = f.i + 1)
+SELECT doc_id, page, block, kind, n_lines, y0, y1, text FROM f QUALIFY row_number() OVER (PARTITION BY doc_id, page, block ORDER BY i DESC) = 1""")
+def native_paragraphs(spark, sf_dir):
+    return A.native_paragraphs(native_of(spark, sf_dir))
+
+
+# Review and sources.
+@query("""WITH p AS (SELECT l_orderkey AS doc_id, 1 + (l_linenumber * l_suppkey) % 7 AS page FROM lineitem), c AS (SELECT doc_id, page, count(*) AS n FROM p GROUP BY ALL),
+a AS (SELECT doc_id, sum(n)::BIGINT AS observed, min(page) AS first_page, max(page) AS last_page, list(page) AS ps, coalesce(list_sort(list(page) FILTER (n > 1)), []) AS twice FROM c GROUP BY doc_id),
+m AS (SELECT *, list_filter(range(1, 8), lambda x: NOT list_contains(ps, x)) AS gone FROM a)
+SELECT doc_id, observed, first_page, last_page, array_to_string(gone, ',') AS missing, array_to_string(twice, ',') AS duplicates, len(gone) = 0 AND len(twice) = 0 AS valid FROM m""")
+def page_summary(spark, sf_dir):
+    pages = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS doc_id", "1 + (l_linenumber * l_suppkey) % 7 AS page", "7 AS expected")
+    return V.page_summary(pages)
+
+
+VOTES = "CASE WHEN event_type IN ('view', 'purchase', 'click') THEN 'accept' ELSE 'revise' END"
+
+
+@query(f"""WITH v AS (SELECT user_id AS doc_id, strftime(ts, '%Y-%m-%d') AS crop, row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y-%m-%d') ORDER BY ts, event_id) AS k, event_id, (85 + event_id % 20) / 100::DOUBLE AS conf, {VOTES} = 'accept' AND event_id % 20 >= 5 AS ok FROM events),
+c AS (SELECT doc_id, crop, bool_or(ok) FILTER (k = 1) AS a, bool_or(ok) FILTER (k = 2) AS b, bool_or(ok) FILTER (k = 3) AS c FROM v GROUP BY ALL),
+l AS (SELECT *, 6 - coalesce(sum(CASE WHEN a THEN 0 WHEN coalesce(b, false) THEN 2 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY crop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_over FROM c),
+s AS (SELECT doc_id, crop, CASE WHEN a THEN 'single_accept' WHEN left_over < 1 THEN 'adverse_unconfirmed' WHEN b IS NULL THEN 'confirmation_failed' WHEN NOT b THEN 'confirmed_adverse' WHEN left_over < 2 THEN 'split_budget_exhausted' WHEN c IS NULL THEN 'tie_break_failed' WHEN c THEN 'majority_accept' ELSE 'majority_adverse' END AS status FROM l),
+u AS (SELECT *, CASE WHEN status IN ('single_accept', 'adverse_unconfirmed', 'confirmation_failed') THEN 1 WHEN starts_with(status, 'majority') THEN 3 ELSE 2 END::BIGINT AS n_votes, status IN ('single_accept', 'majority_accept') AS accepted FROM s)
+SELECT doc_id, crop, n_votes, status, accepted, max_by(event_id, conf * 1000 - k) AS chosen FROM u JOIN v USING (doc_id, crop) WHERE k <= n_votes AND ok = accepted GROUP BY ALL""")
+def consensus(spark, sf_dir):
+    w = Window.partitionBy("doc_id", "crop").orderBy("ts", "event_id")
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.date_format("ts", "yyyy-MM-dd").alias("crop"), "ts", "event_id", F.expr(VOTES).alias("decision"), F.expr("(85 + event_id % 20) / cast(100 AS double)").alias("confidence"))
+    return V.consensus(e.select("doc_id", "crop", F.row_number().over(w).alias("vote_no"), F.col("event_id").alias("vote_id"), "decision", "confidence"))
+
+
+SIDE = "[greatest(0, g - {r}) + 1:g]", "[g + 2:least(255, g + {r}) + 1]"
+
+
+@query(f"""WITH p AS (SELECT l_returnflag || l_linestatus AS image, ((l_quantity::INT * round(l_discount * 100)::INT) % 256)::INT AS gray FROM lineitem), c AS (SELECT image, gray, count(*) AS n FROM p GROUP BY ALL),
+h AS (SELECT image, list(n ORDER BY g) AS h, sum(n) AS px FROM (SELECT i.image, g, coalesce(n, 0)::DOUBLE AS n FROM (SELECT DISTINCT image FROM c) i CROSS JOIN (SELECT unnest(range(256))::INT AS g) x LEFT JOIN c ON c.image = i.image AND c.gray = g) GROUP BY image),
+s AS (SELECT image, h, px, list_transform(range(256), lambda g: list_sum(list_transform(range(-8, 9), lambda d: ({[*V.kernel()]}::DOUBLE[])[d + 9] * h[greatest(0, least(255, g + d)) + 1]))) AS s FROM h),
+r AS (SELECT image, h, px, s, g, s[g + 1] AS c FROM s CROSS JOIN (SELECT unnest(range(3, 253))::INT AS g)),
+k AS (SELECT image, g AS gray, list_sum(h[greatest(0, g - 4) + 1:least(255, g + 4) + 1]) / px AS support, greatest(0, c - greatest(list_min(s{SIDE[0].format(r=16)}), list_min(s{SIDE[1].format(r=16)}))) / c AS prominence, c / px AS density FROM r
+ WHERE c > 0 AND c >= list_max(s{SIDE[0].format(r=3)}) AND c >= list_max(s{SIDE[1].format(r=3)}) AND (c > list_min(s{SIDE[0].format(r=3)}) OR c > list_min(s{SIDE[1].format(r=3)}))),
+q AS (SELECT *, support >= 0.001 AND prominence >= 0.08 AND density >= 0.0001 AS qualified FROM k)
+SELECT image, gray, round(support, 6) AS support, round(prominence, 6) AS prominence, round(density, 6) AS density, qualified, coalesce(gray = min(gray) FILTER (qualified) OVER (PARTITION BY image), false) AS anchor FROM q""")
+def dark_peaks(spark, sf_dir):
+    return V.dark_peaks(table(spark, sf_dir, "lineitem").selectExpr("l_returnflag || l_linestatus AS image", "(int(l_quantity) * int(round(l_discount * 100))) % 256 AS gray"))
+
+
+@query("""WITH i AS (SELECT conv_id AS context, CASE WHEN conv_id % 9 = 4 THEN 0 ELSE turn END AS item, repeat(coalesce(text, ''), CASE WHEN conv_id % 5 = 0 THEN 200 ELSE 1 END) AS text FROM conversations), g AS (SELECT context, item, count(*) AS n, sum(length(text)) AS c FROM i GROUP BY ALL)
+SELECT context, sum(n)::BIGINT AS items, sum(c)::BIGINT AS chars, CASE WHEN max(n) > 1 THEN 'repeated_ids' WHEN sum(n) > 100 THEN 'too_many_items' WHEN sum(c) > 60000 THEN 'too_large' ELSE 'ok' END AS verdict FROM g GROUP BY context""")
+def context_check(spark, sf_dir):
+    items = table(spark, sf_dir, "conversations").selectExpr("conv_id AS context", "CASE WHEN conv_id % 9 = 4 THEN 0 ELSE turn END AS item", "repeat(coalesce(text, ''), CASE WHEN conv_id % 5 = 0 THEN 200 ELSE 1 END) AS text")
+    return V.context_check(items)
+
+
+def prints(source: str) -> str:
+    return f"SELECT doc_id, count(*) AS n_nodes, sum(('0x' || substr(sha256(concat_ws(chr(31), node, coalesce(parent_node, 'None'), kind, coalesce(level::VARCHAR, 'None'), ord::VARCHAR)), 1, 12))::BIGINT)::HUGEINT::VARCHAR AS print FROM {source} GROUP BY doc_id"
+
+
+@query(f"WITH {NODES} {prints('nodes')}")
+def graph_fingerprint(spark, sf_dir):
+    return V.fingerprint(G.nodes(T.heading_tree(groups_of(spark, sf_dir))))
+
+
+@query(f"""WITH {NODES}, old AS ({prints('nodes')}), came AS (SELECT * REPLACE (CASE WHEN doc_id % 5 = 1 THEN coalesce(level, 0) + 1 ELSE level END AS level) FROM nodes), new AS ({prints('came')})
+SELECT n.doc_id, CASE WHEN o.print IS NULL THEN 'created' WHEN o.print = n.print THEN 'existing' ELSE 'conflict' END AS outcome FROM new n LEFT JOIN (SELECT * FROM old WHERE doc_id % 3 <> 0) o USING (doc_id)""")
+def candidate_create(spark, sf_dir):
+    n = G.nodes(T.heading_tree(groups_of(spark, sf_dir)))
+    return V.create_outcome(n.where("doc_id % 3 <> 0"), n.withColumn("level", F.expr("CASE WHEN doc_id % 5 = 1 THEN coalesce(level, 0) + 1 ELSE level END")))
+
+
+@query(f"WITH {OUTLINE} SELECT doc_id, line_no, level FROM outline WHERE line_no = 1 AND level <> 1")
+def title_rule(spark, sf_dir):
+    assigned = T.assignments(lines_of(spark, sf_dir)).withColumn("kind", F.when(F.col("line_no") == 1, "title").otherwise(F.col("kind")))
+    return V.title_demotions(assigned, R.outline_vote(outline_votes_of(spark, sf_dir)))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 5 < 4 THEN sha256(text) END AS sha, CASE WHEN text IS NOT NULL THEN CASE doc_id % 5 WHEN 1 THEN 'utf-8-sig' WHEN 2 THEN 'utf-16' WHEN 3 THEN 'utf-16' ELSE 'utf-8' END END AS encoding, CASE WHEN text IS NULL THEN 'missing' WHEN doc_id % 5 = 4 THEN 'nul' END AS error FROM documents""")
+def decoded_text(spark, sf_dir):
+    raw = F.expr("CASE doc_id % 5 WHEN 1 THEN concat(unhex('EFBBBF'), encode(text, 'UTF-8')) WHEN 2 THEN concat(unhex('FFFE'), encode(text, 'UTF-16LE')) WHEN 3 THEN concat(unhex('FEFF'), encode(text, 'UTF-16BE')) WHEN 4 THEN concat(unhex('00'), encode(text, 'UTF-8')) ELSE encode(text, 'UTF-8') END")
+    read = table(prepare(spark), sf_dir, "documents").select("doc_id", P.decoded(raw).alias("d"))
+    return read.select("doc_id", F.sha2("d.text", 256).alias("sha"), "d.encoding", "d.error")
+
+
+@query("""SELECT event_id, '{"a":"' || event_type || '","k":' || replace(props, ' ', '') || ',"m":[1,{"Token":' || event_id % 3 || ',"b":null}],"z":' || user_id || '}' AS json, 'Token' AS unsafe FROM events""")
+def canonical_payloads(spark, sf_dir):
+    payload = F.concat(F.lit('{ "z": '), "user_id", F.lit(', "a": "'), "event_type", F.lit('", "m": [1, {"Token": '), F.expr("event_id % 3"), F.lit(', "b": null}], "k": '), "props", F.lit("}"))
+    read = table(prepare(spark), sf_dir, "events").select("event_id", P.canonical_json(payload).alias("c"))
+    return read.select("event_id", "c.json", F.array_join("c.unsafe", ",").alias("unsafe"))
+
+
+@query("""WITH p AS (SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'bad' ELSE 'src_' || substr(sha256(url || page_id), 1, 32) END AS ref, html FROM pages)
+SELECT ref, strlen(html)::BIGINT AS bytes, CASE WHEN page_id % 7 = 0 THEN 'bad_reference' WHEN page_id % 5 = 1 THEN 'mismatch' WHEN page_id % 2 = 1 THEN 'stored' WHEN page_id % 6 = 0 THEN 'exists' ELSE 'same' END AS outcome FROM p""")
+def object_put(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").selectExpr("page_id", "CASE WHEN page_id % 7 = 0 THEN 'bad' ELSE concat('src_', substr(sha2(concat(url, page_id), 256), 1, 32)) END AS ref", "html")
+    held = p.where("page_id % 2 = 0 AND page_id % 7 <> 0").selectExpr("ref", "cast(CASE WHEN page_id % 6 = 0 THEN concat(html, 'x') ELSE html END AS binary) AS content")
+    came = p.selectExpr("ref", "cast(html AS binary) AS content", "CASE WHEN page_id % 5 = 1 THEN octet_length(html) + 1 END AS expected_size", "sha2(html, 256) AS expected_sha")
+    return P.put_outcome(held, came)
