@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 # The states that event types stand for, allowed transitions, grant limits.
 STATUS = {"signup": "created", "view": "running", "purchase": "succeeded", "error": "failed", "click": "cancelled"}
@@ -61,3 +65,51 @@ def hourly_activity(events: DataFrame, late: str = "1 hour") -> DataFrame:
     # Watermarks take instants; files may hold local times.
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     return timed.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type", "n")
+
+
+Fold = Callable[[object, tuple], tuple[object, tuple]]
+
+
+def folded_stream(events: DataFrame, keys: list[str], taken: list[str], fold: Fold, out: str, state: str) -> DataFrame:
+    """A stream's events folded by key: ``fold(state, values)`` gives the next state (first None) and the output row.
+
+    Events of one batch are taken in the order of (ts, event_id); batches are taken to follow each other in time. The
+    state is one value a key and lives in the checkpoint, so a restarted query goes on where it was.
+    """
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        now = held.get[0] if held.exists else None
+        rows = []
+        for values in pd.concat(list(parts)).sort_values(["ts", "event_id"])[["event_id", *taken]].itertuples(index=False, name=None):
+            now, row = fold(now, values[1:])
+            rows.append((values[0], *key, *row))
+        held.update((now,))
+        yield pd.DataFrame(rows, columns=names)
+
+    schema = f"event_id long, {out}"
+    names = [x.split()[0] for x in schema.split(", ")]
+    return events.groupBy(*keys).applyInPandasWithState(step, schema, state, "append", GroupStateTimeout.NoTimeout)
+
+
+def run_transitions_stream(events: DataFrame) -> DataFrame:
+    """The stream twin of ``run_transitions``: each user's last status is the state."""
+
+    def fold(before: str | None, values: tuple) -> tuple[str | None, tuple]:
+        (status,) = values
+        allowed = None if status is None else status == "created" if before is None else f"{before}>{status}" in ALLOWED
+        return status, (before, status, allowed)
+
+    named = events.withColumn("status", status_of(F.col("event_type")))
+    return folded_stream(named, ["user_id"], ["status"], fold, "user_id long, before string, status string, allowed boolean", "status string")
+
+
+def selection_stream(events: DataFrame, slices: int = 5) -> DataFrame:
+    """The stream twin of ``selection_replay``: each event with whether it was accepted and the version after it."""
+
+    def fold(version: int | None, values: tuple) -> tuple[int, tuple]:
+        hit = values[0] == (version or 0) % slices
+        after = (version or 0) + int(hit)
+        return after, (hit, after)
+
+    asked = events.withColumn("expected", F.get_json_object("props", "$.k").cast("long") % slices).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    return folded_stream(asked, ["user_id", "day"], ["expected"], fold, "user_id long, day string, accepted boolean, version long", "version long")
