@@ -366,6 +366,14 @@ def selection_replay(spark, sf_dir):
     return X.selection_replay(table(spark, sf_dir, "events"))
 
 
+@query("""WITH RECURSIVE e AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, json_extract_string(props, '$.k')::BIGINT % 5 AS expected, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+f AS (SELECT user_id, day, i, coalesce(expected = 0, false)::BIGINT AS hit, coalesce(expected = 0, false)::BIGINT AS version FROM e WHERE i = 1
+ UNION ALL SELECT e.user_id, e.day, e.i, coalesce(e.expected = f.version % 5, false)::BIGINT, f.version + coalesce(e.expected = f.version % 5, false)::BIGINT FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
+SELECT user_id, day, count(*) AS n_events, sum(hit)::BIGINT AS accepted, max(version) AS version FROM f GROUP BY user_id, day""")
+def selection_history(spark, sf_dir):
+    return X.selection_history(table(spark, sf_dir, "events"))
+
+
 @query("""SELECT event_id, user_id, coalesce(ts <= granted + INTERVAL 20 MINUTE, false) AS alive FROM (SELECT *, last_value(CASE WHEN event_type = 'click' THEN ts END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS granted FROM events) WHERE event_type = 'view'""")
 def grant_replay(spark, sf_dir):
     return X.grant_replay(table(spark, sf_dir, "events"))

@@ -33,7 +33,8 @@ def run_transitions(events: DataFrame) -> DataFrame:
 def selection_replay(events: DataFrame, slices: int = 5) -> DataFrame:
     """Compare-and-set replay per user: an event is accepted where its expected version equals the running one.
 
-    The version depends on all accepted events before, so each user's events of a day are folded in order.
+    Each user's version starts at 0 again every day: the events of a day are folded in order, without the days before.
+    ``selection_history`` carries the version over all events.
     """
     keyed = events.select("user_id", F.to_date("ts").alias("day"), F.struct("ts", "event_id", (F.get_json_object("props", "$.k").cast("long") % slices).alias("expected")).alias("e"))
     logs = keyed.groupBy("user_id", "day").agg(F.array_sort(F.collect_list("e")).alias("log"))
@@ -46,6 +47,35 @@ def selection_replay(events: DataFrame, slices: int = 5) -> DataFrame:
     return logs.select("user_id", F.col("day").cast("string").alias("day"), F.size("log").cast("long").alias("n_events"), F.aggregate("log", zero, step).alias("a")).select("user_id", "day", "n_events", "a.version")
 
 
+def selection_history(events: DataFrame, slices: int = 5, slice_rows: int = 50_000) -> DataFrame:
+    """The compare-and-set replay over a user's whole log: each day's events, accepted ones and the version after it.
+
+    The log is dealt by ranges of (user, time), so a hot user's log lies in several ranges of about ``slice_rows`` events.
+    A stretch of a user's day within a range is folded from every start version modulo ``slices`` to the version's gain;
+    the gains are then carried through the user's stretches in order. An event without an expected version conflicts.
+    """
+    asked = F.pmod(F.get_json_object("props", "$.k").cast("long"), F.lit(slices))
+    parts = max(1, -(-events.count() // slice_rows))
+    dealt = events.select("user_id", "ts", "event_id", asked.alias("expected")).repartitionByRange(parts, "user_id", "ts", "event_id").withColumn("slice", F.spark_partition_id())
+    logs = dealt.groupBy("user_id", F.to_date("ts").alias("day"), "slice").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "expected"))).alias("log"))
+
+    def step(gains: Column, x: Column) -> Column:
+        return F.transform(gains, lambda g, start: g + F.coalesce((start + g) % slices == x["expected"], F.lit(False)).cast("long"))
+
+    gains = F.aggregate("log", F.array(*[F.lit(0).cast("long")] * slices), step)
+    maps = logs.select("user_id", F.struct("day", "slice", F.size("log").cast("long").alias("n"), gains.alias("gains")).alias("m"))
+    zero = F.struct(F.lit(0).cast("long").alias("version"), F.expr("cast(array() AS array<struct<day:date,n:bigint,accepted:bigint,version:bigint>>)").alias("done"))
+
+    def carry(a: Column, m: Column) -> Column:
+        gain = F.get(m["gains"], (a["version"] % slices).cast("int"))
+        after = a["version"] + gain
+        return F.struct(after.alias("version"), F.concat(a["done"], F.array(F.struct(m["day"].alias("day"), m["n"].alias("n"), gain.alias("accepted"), after.alias("version")))).alias("done"))
+
+    carried = maps.groupBy("user_id").agg(F.array_sort(F.collect_list("m")).alias("ms")).select("user_id", F.explode(F.aggregate("ms", zero, carry)["done"]).alias("d"))
+    days = carried.groupBy("user_id", F.col("d.day").cast("string").alias("day"))
+    return days.agg(F.sum("d.n").alias("n_events"), F.sum("d.accepted").alias("accepted"), F.max("d.version").alias("version"))
+
+
 def grant_replay(events: DataFrame) -> DataFrame:
     """Retrievals (views) with the last grant (click) of the user before them and whether it is still alive."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
@@ -103,8 +133,11 @@ def run_transitions_stream(events: DataFrame) -> DataFrame:
     return folded_stream(named, ["user_id"], ["status"], fold, "user_id long, before string, status string, allowed boolean", "status string")
 
 
-def selection_stream(events: DataFrame, slices: int = 5) -> DataFrame:
-    """The stream twin of ``selection_replay``: each event with whether it was accepted and the version after it."""
+def selection_stream(events: DataFrame, slices: int = 5, by_day: bool = True) -> DataFrame:
+    """The stream twin of ``selection_replay``: each event with whether it was accepted and the version after it.
+
+    Without ``by_day`` it is the twin of ``selection_history``: the state is kept by the user alone.
+    """
 
     def fold(version: int | None, values: tuple) -> tuple[int, tuple]:
         hit = values[0] == (version or 0) % slices
@@ -112,4 +145,5 @@ def selection_stream(events: DataFrame, slices: int = 5) -> DataFrame:
         return after, (hit, after)
 
     asked = events.withColumn("expected", F.get_json_object("props", "$.k").cast("long") % slices).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
-    return folded_stream(asked, ["user_id", "day"], ["expected"], fold, "user_id long, day string, accepted boolean, version long", "version long")
+    keys, named = (["user_id", "day"], "user_id long, day string") if by_day else (["user_id"], "user_id long")
+    return folded_stream(asked, keys, ["expected"], fold, f"{named}, accepted boolean, version long", "version long")
