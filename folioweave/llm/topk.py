@@ -9,12 +9,15 @@ multiplied out exactly. The best of each cell are merged by query.
 
 Defined cases: vectors that are null, empty, or hold a null or non-finite component, and rows without an id, take no
 part; vectors of another dimension than the query's are no candidates; rows with the query's own id are not its
-candidates; repeated rows are candidates, and queries, one by one; ties go to the smaller id; scores are exact up to
-2**53, beyond which vectors take no part; an empty table gives an empty result.
+candidates; repeated rows are candidates, and queries, one by one; ties go to the smaller id; an empty table gives an
+empty result. Every finite vector takes part: where a squared length is beyond 2**53, so that doubles may round, scores
+are counted in whole numbers of any size. Ranks are exact then too; a score beyond 64 bits is given as null.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 
 import numpy as np
 import pandas as pd
@@ -29,17 +32,20 @@ CANDIDATE_BLOCK = 16_384
 BUCKET = 512
 #: Above this local cosine threshold, coordinate pruning is tried; at most this many leading coordinates are used.
 COORDINATE_FROM, LEADING = 0.5, 16
-#: A component beyond this could take a product past 2**53.
-LARGEST = 2.0**40
+#: Products of vectors up to this squared length are exact in doubles, as are the sums on the way.
+EXACT = 2.0**53
 
 
 def quantised(vectors: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
-    """Rows (id, v, norm2, row): whole numbers as doubles. All by built-in functions."""
-    v = F.transform(F.col(f"`{vector}`"), lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("double"))
+    """Rows (id, v, wide, row): whole numbers as doubles; or, beyond EXACT, the vector as it is. All by built-in functions."""
     raw = F.col(f"`{vector}`")
-    sound = raw.isNotNull() & (F.size(raw) > 0) & F.forall(raw, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) <= LARGEST / scale))
-    out = vectors.where(sound & F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").cast("long").alias("id"), v.alias("v"))
-    return out.withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).where(F.col("norm2") <= 2.0**53).withColumn("row", F.monotonically_increasing_id())
+    plain = F.transform(raw, lambda x: x.cast("double"))
+    # A bigint holds floors below 2**53 only as doubles do; larger doubles are whole.
+    v = F.transform("plain", lambda x: F.when(F.abs(x * float(scale)) < EXACT, F.floor(x * float(scale)).cast("double")).otherwise(x * float(scale)))
+    sound = raw.isNotNull() & (F.size(raw) > 0) & F.forall(raw, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
+    out = vectors.where(sound & F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").cast("long").alias("id"), plain.alias("plain")).withColumn("v", v)
+    fits = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x) <= EXACT
+    return out.select("id", F.when(fits, F.col("v")).alias("v"), F.when(~fits, F.col("plain")).alias("wide"), F.monotonically_increasing_id().alias("row"))
 
 
 def search_cell(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,6 +100,56 @@ def search_cell(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray,
     return n, ids[n, m], best[n, m]
 
 
+def whole(x: float, scale: int) -> int:
+    """The floor of ``scale * x``, also where the product is no double."""
+    y = float(scale) * x
+    return math.floor(y) if math.isfinite(y) else int(x) * scale
+
+
+def estimates(vectors: np.ndarray, scale: int) -> np.ndarray:
+    """The quantised vectors as doubles, all divided by one power of two that takes them to about 1 at most."""
+    with np.errstate(over="ignore"):
+        y = vectors * float(scale)
+    top = int(np.frexp(max(1.0, np.abs(vectors).max()))[1]) + scale.bit_length()
+    return np.where(np.isfinite(y), np.ldexp(np.floor(y), -top), np.ldexp(vectors, -top) * float(scale))
+
+
+def search_wide(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int, scale: int) -> list[tuple[int, int, int]]:
+    """As ``search_cell``, for plain vectors of any finite size, with scores in whole numbers.
+
+    Scores in doubles with a bound of their error leave out what cannot be among the best ``k``; the rest is counted.
+    """
+    out, ints, width = [], {}, c.shape[1]
+    near_c, counted = estimates(c, scale), lambda v: [whole(x, scale) for x in v.tolist()]
+    largest = np.abs(near_c).max(axis=1)
+    for i, v in enumerate(q):
+        near = estimates(v[None, :], scale)[0]
+        score = near_c @ near
+        slack = (width + 8) * 2.0**-51 * width * largest * np.abs(near).max() + width * 2.0**-1000
+        other = np.flatnonzero(cid != qid[i])
+        low = score[other] - slack[other]
+        floor = np.partition(low, len(low) - k)[len(low) - k] if len(low) > k else -math.inf
+        own, seen, best = counted(v), {}, []
+        for j in other[score[other] + slack[other] >= floor].tolist():
+            copy = c[j].tobytes()
+            if copy not in seen:
+                if copy not in ints:
+                    ints[copy] = counted(c[j])
+                seen[copy] = sum(a * b for a, b in zip(own, ints[copy], strict=True))
+            best.append((-seen[copy], int(cid[j])))
+        out += [(i, j, -s) for s, j in heapq.nsmallest(k, best)]
+    return out
+
+
+def beyond(score: int) -> str | None:
+    """A text for a score beyond 64 bits whose order is that of the numbers of the same sign; null for others."""
+    if -(2**63) <= score < 2**63:
+        return None
+    digits = f"{abs(score):x}"
+    text = f"{len(digits):08x}{digits}"
+    return text if score > 0 else text.translate(str.maketrans("0123456789abcdef", "fedcba9876543210"))
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", scale: int = SCALE, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
     """Rows (query_id, rank, vec_id, score). ``is_query`` is a condition on the column ``id``.
 
@@ -105,19 +161,33 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id"
     across, down = max(1, -(-m // query_block)), max(1, -(-n // candidate_block))
     deal = lambda parts, salt: F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(parts)).cast("int")
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    queries = rows.where(is_query).select(deal(across, 1).alias("qb"), every(down).alias("cb"), "id", "row", "v")
-    candidates = rows.select(every(across).alias("qb"), deal(down, 2).alias("cb"), "id", "v")
+    queries = rows.where(is_query).select(deal(across, 1).alias("qb"), every(down).alias("cb"), "id", "row", "v", "wide")
+    candidates = rows.select(every(across).alias("qb"), deal(down, 2).alias("cb"), "id", "v", "wide")
 
     def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
-        right_size = right["v"].map(len)
-        for size, some in left.groupby(left["v"].map(len)):
-            fit = right[right_size == size]
-            if len(fit):
-                i, ids, scores = search_cell(some["id"].to_numpy(), np.stack(some["v"].to_list()), fit["id"].to_numpy(), np.stack(fit["v"].to_list()), k)
-                out.append(pd.DataFrame({"row": some["row"].to_numpy()[i], "query_id": some["id"].to_numpy()[i], "vec_id": ids, "score": scores.astype(np.int64)}))
-        return pd.concat(out) if out else pd.DataFrame({c: np.empty(0, np.int64) for c in ("row", "query_id", "vec_id", "score")})
-
-    found = queries.groupBy("qb", "cb").cogroup(candidates.groupBy("qb", "cb")).applyInPandas(cell, "row long, query_id long, vec_id long, score long")
-    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
+        for t in (left, right):
+            t["is_wide"] = t["wide"].notna()
+            t["size"] = t["v"].where(~t["is_wide"], t["wide"]).map(len)
+        for size, some in left.groupby("size"):
+            fit = right[right["size"] == size]
+            short, near = some[~some["is_wide"]], fit[~fit["is_wide"]]
+            if len(short) and len(near):
+                i, ids, scores = search_cell(short["id"].to_numpy(), np.stack(short["v"].to_list()), near["id"].to_numpy(), np.stack(near["v"].to_list()), k)
+                out.append(pd.DataFrame({"row": short["row"].to_numpy()[i], "query_id": short["id"].to_numpy()[i], "vec_id": ids, "score": pd.array(scores.astype(np.int64), "Int64"), "sign": 0, "beyond": None}))
+            for asked, met in ((short, fit[fit["is_wide"]]), (some[some["is_wide"]], fit)):
+                if len(asked) and len(met):
+                    found = search_wide(asked["id"].to_numpy(), plain(asked), met["id"].to_numpy(), plain(met), k, scale)
+                    if found:
+                        i, ids, scores = map(list, zip(*found, strict=True))
+                        far = list(map(beyond, scores))
+                        out.append(pd.DataFrame({"row": asked["row"].to_numpy()[i], "query_id": asked["id"].to_numpy()[i], "vec_id": ids, "score": pd.array([s if f is None else None for s, f in zip(scores, far, strict=True)], "Int64"), "sign": [0 if f is None else 1 if s > 0 else -1 for s, f in zip(scores, far, strict=True)], "beyond": far}))
+        return pd.concat(out) if out else pd.DataFrame({c: np.empty(0, object if c == "beyond" else np.int64) for c in ("row", "query_id", "vec_id", "score", "sign", "beyond")})
+
+    def plain(t: pd.DataFrame) -> np.ndarray:
+        # Half a step more, so that the floor gives the same whole number again for any scale.
+        return np.stack([np.asarray(w) if far else (np.asarray(v) + 0.5) / scale for far, v, w in zip(t["is_wide"], t["v"], t["wide"], strict=True)])
+
+    found = queries.groupBy("qb", "cb").cogroup(candidates.groupBy("qb", "cb")).applyInPandas(cell, "row long, query_id long, vec_id long, score long, sign int, beyond string")
+    order = Window.partitionBy("row").orderBy(F.desc("sign"), F.desc("beyond"), F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

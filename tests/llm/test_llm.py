@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -171,6 +172,27 @@ def test_top_k(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_top_k_keeps_long_vectors(spark):
+    prepare(spark)
+    rng = np.random.default_rng(6)
+    sizes = [0.1, 3, 2e6, 1e9, 1.7e10, 1e15, 1e18, 1e38, 1e150, 1.7e308]
+    rows = [(i, [float(x) for x in rng.uniform(-1, 1, size=5) * sizes[i % len(sizes)]]) for i in range(200)]
+    # Scores that differ by one beyond 2**53, copies, and components out of a vector's range.
+    rows += [(200 + i, [2.0**40, 1 + i / 64, 0.0, 0.0, 0.0]) for i in range(9)] + [(210, rows[3][1]), (211, [1e308, 0.3, -0.3, 1e-300, -1e-300]), (212, [float("inf")] * 5), (213, [-1.0] * 5)]
+    whole = lambda x: int(Fraction(x) * 64 // 1)
+    sound = [(i, list(map(whole, v))) for i, v in rows if np.isfinite(v).all()]
+    for block in (70, 10_000):
+        got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 3 == 0, k=7, candidate_block=block, query_block=40).collect()
+        want = []
+        for i, v in sound:
+            if i % 3 == 0:
+                best = sorted((-sum(a * b for a, b in zip(v, c, strict=True)), j) for j, c in sound if j != i)[:7]
+                want += [(i, n + 1, j, -s if -(2**63) <= -s < 2**63 else None) for n, (s, j) in enumerate(best)]
+        assert sorted(map(tuple, got)) == sorted(want)
+    floats = spark.createDataFrame([(0, [3e6, 1.0]), (1, [2e6, 0.5]), (2, [1.0, 1.0])], "vec_id long, embedding array<float>")
+    assert [tuple(r) for r in topk.top_k(floats, F.col("id") == 0, k=2, scale=3).orderBy("rank").collect()] == [(0, 1, 1, 9_000_000 * 6_000_000 + 3), (0, 2, 2, 27_000_000 + 9)]
+
+
 def test_sharding(spark):
     prepare(spark)
     rows = EDGES + [(10 + i % 3, "same") for i in range(500)]
