@@ -559,6 +559,54 @@ def contents_block(spark, sf_dir):
     return A.contents_block(contents_of(spark, sf_dir))
 
 
+# The contents operators over whole texts: a book's own lines as they are, and made contents lines, uncut, beside some.
+BOOK_BODY = "body || CASE doc_id % 3 WHEN 0 THEN chr(10) || t || ' ..... ' || (1 + doc_id % 300) || chr(10) || 'Part ' || (doc_id % 7) || '  ' || (2 + doc_id % 300) WHEN 1 THEN chr(10) || t || ' ..... ' || (1 + doc_id % 300) ELSE '' END"
+
+
+def with_made(spark: SparkSession, sf_dir: str, made: str, where: str) -> DataFrame:
+    """Whole lines under even numbers and, where ``where`` holds, a made line after them."""
+    both = F.filter(F.array(F.struct((2 * F.col("line_no")).alias("line_no"), "text"), F.when(F.expr(where), F.struct((2 * F.col("line_no") + 1).alias("line_no"), F.expr(made).alias("text")))), lambda x: x.isNotNull())
+    return lines_of(spark, sf_dir).select("doc_id", F.expr("(line_no - 1) div 6").alias("block"), F.explode(both).alias("x")).select("doc_id", "block", "x.line_no", "x.text")
+
+
+@query(SQL["toc_items"].replace(f"b AS (SELECT doc_id, string_split(body, chr(10))[1] AS h FROM books), x AS (SELECT doc_id, {TOC_BODY} AS body FROM b)", f"b AS (SELECT doc_id, body, string_split(body, chr(10))[2] AS t FROM books), x AS (SELECT doc_id, {BOOK_BODY} AS body FROM b)"))
+def toc_items_whole(spark, sf_dir):
+    made = BOOK_BODY.replace("chr(10)", r"'\n'")
+    return B.toc_items(S.books(spark, sf_dir).withColumn("t", F.split("body", "\n")[1]).select("doc_id", F.expr(made).alias("body")), "body")
+
+
+WHOLE_CONTENTS = CONTENTS.replace("substr(text, 1, 20)", "text")
+CUT_ROWS = f"SELECT doc_id, (line_no - 1) // 6 AS block, line_no, {CONTENTS} AS text FROM lines"
+WHOLE_ROWS = f"SELECT doc_id, (line_no - 1) // 6 AS block, 2 * line_no AS line_no, text FROM lines UNION ALL SELECT doc_id, (line_no - 1) // 6, 2 * line_no + 1, {WHOLE_CONTENTS} FROM lines WHERE (line_no - 1) // 6 % 3 = 0"
+
+
+def whole_contents_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_made(spark, sf_dir, WHOLE_CONTENTS, "(line_no - 1) div 6 % 3 = 0")
+
+
+@query(SQL["contents_entries"].replace(CUT_ROWS, WHOLE_ROWS))
+def contents_entries_whole(spark, sf_dir):
+    return whole_contents_of(spark, sf_dir).select("doc_id", "line_no", A.strip(F.col("text")).alias("line")).where("line <> ''").select("doc_id", "line_no", A.contents_entry(F.col("line")).alias("entry"))
+
+
+@query(SQL["contents_vote"].replace(CUT_ROWS, WHOLE_ROWS))
+def contents_vote_whole(spark, sf_dir):
+    return A.contents_vote(whole_contents_of(spark, sf_dir))
+
+
+@query(SQL["contents_block"].replace(CUT_ROWS, WHOLE_ROWS))
+def contents_block_whole(spark, sf_dir):
+    return A.contents_block(whole_contents_of(spark, sf_dir))
+
+
+WHOLE_TOC_LINES = TOC_LINES.replace("substr(text, 1, 10 + 30 * (line_no % 5))", "text").replace("substr(text, 1, 20)", "text")
+
+
+@query(SQL["compact_toc"].replace(f"SELECT doc_id, line_no, {TOC_LINES} AS t FROM lines WHERE text <> ''", f"SELECT doc_id, 2 * line_no AS line_no, text AS t FROM lines UNION ALL SELECT doc_id, 2 * line_no + 1, {WHOLE_TOC_LINES} FROM lines WHERE text <> ''"))
+def compact_toc_whole(spark, sf_dir):
+    return R.compact_toc(with_made(spark, sf_dir, WHOLE_TOC_LINES.replace("repeat(' ', line_no % 3)", "repeat(' ', int(line_no % 3))"), "text <> ''"))
+
+
 FORCED = ", ".join(map(quoted, A.FORCED))
 
 

@@ -40,8 +40,12 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"^[ \t　]+|[ \t　]+$", "")
 
 
+#: What the last character must be for a pattern to match: looked at first, as the patterns go back and forth over long lines.
+LAST = {LEADER_LINE: "[0-9]", SPACED_LINE: "[0-9]", DASH_LINE: "[0-9]", PAREN_LINE: "[)）]"}
+
+
 def any_rlike(text: Column, *patterns: str) -> Column:
-    return reduce(lambda a, b: a | b, (text.rlike(p) for p in patterns))
+    return reduce(lambda a, b: a | b, (F.substring(text, -1, 1).rlike(LAST[p]) & text.rlike(p) if p in LAST else text.rlike(p) for p in patterns))
 
 
 def contents_match(line: Column) -> Column:
@@ -58,9 +62,9 @@ def contents_entry(line: Column) -> Column:
     """A stripped contents line as ``title...page``; titles stay, noise is empty, other lines are left as they are."""
     title = lambda p: strip(F.regexp_replace(inline_whitespace(F.regexp_extract(line, p, 1)), f"{LEADER}+$", ""))
     bracketed = F.when((title(PAREN_LINE) == "") | contents_noise(title(PAREN_LINE)), "").otherwise(F.concat(title(PAREN_LINE), F.lit("..."), F.regexp_extract(line, PAREN_LINE, 2)))
-    out = F.when(line.rlike(CONTENTS_HEADING), "目录").when(line.rlike(TITLE_LIKE), line).when(contents_noise(line), "").when(line.rlike(PAREN_LINE), bracketed)
+    out = F.when(line.rlike(CONTENTS_HEADING), "目录").when(line.rlike(TITLE_LIKE), line).when(contents_noise(line), "").when(any_rlike(line, PAREN_LINE), bracketed)
     for p in (SPACED_LINE, DASH_LINE, LEADER_LINE):
-        out = out.when(line.rlike(p), F.when(title(p) == "", line).otherwise(F.concat(title(p), F.lit("..."), F.regexp_extract(line, p, 2))))
+        out = out.when(any_rlike(line, p), F.when(title(p) == "", line).otherwise(F.concat(title(p), F.lit("..."), F.regexp_extract(line, p, 2))))
     return out.otherwise(line)
 
 

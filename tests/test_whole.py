@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from folioweave import catalog
 from folioweave.streaming import state as X
 
 
@@ -35,3 +36,17 @@ def test_selection_stream_by_user_equals_history(spark, tmp_path):
     q.awaitTermination()
     last = spark.table("history").groupBy("user_id").agg(F.sum(F.col("accepted").cast("long")), F.max("version"))
     assert sorted(map(tuple, last.collect())) == sorted(map(tuple, X.selection_history(batch).groupBy("user_id").agg(F.sum("accepted"), F.max("version")).collect()))
+
+
+def test_contents_queries_find_lines_of_a_book_itself(spark, tmp_path):
+    long = "Ein sehr langer Titel eines Kapitels mit vielen Worten"
+    text = f"Anfang\n{long} ..... 12\n{long} und mehr ..... 345\n第一章 海 第二章 山\n第三章 " + "x" * 240 + " 第四章 y"
+    spark.createDataFrame([(2, text), (5, "no such lines")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    run = lambda name: catalog.queries()[name](spark, str(tmp_path))
+    items = run("toc_items_whole").collect()
+    assert {r["doc_id"] for r in items} == {2} and f"{long} ..... 12" in {r["item"] for r in items}
+    assert f"{long} und mehr...345" in {r["entry"] for r in run("contents_entries_whole").collect()}
+    assert f"{long} und mehr...345" in {r["entry"] for r in run("contents_block_whole").collect()}
+    assert {(r["doc_id"], r["block"]): r["matches"] for r in run("contents_vote_whole").collect()}[2, 0] >= 2
+    found = {r["entry"] for r in run("compact_toc_whole").collect() if r["line_no"] % 2 == 0}
+    assert found == {"第一章 海", "第二章 山"}
