@@ -5,11 +5,13 @@ candidates; each is scored by the mean log-likelihood ratio per character of two
 trained on samples labelled random, the other on samples labelled ordinary. Candidates over the limit add spans.
 
 Defined cases: a null or empty text has no spans; offsets count code points, ends are exclusive; repeated rows
-are scanned one by one; a candidate that overlaps a base span adds nothing; other columns pass untouched.
+are scanned one by one; of a candidate that overlaps base spans, each stretch outside them, of any length, is scored by
+itself; other columns pass untouched.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import random
 import re
@@ -106,12 +108,32 @@ def eligible(s: str) -> bool:
     return letters and (any(c in DIGITS for c in s) or re.search(r"[a-z][A-Z]+[a-z]+[A-Z]", s) is not None)
 
 
+def outside(start: int, end: int, base: list[Span]) -> list[tuple[int, int]]:
+    """The stretches from ``start`` to ``end`` that no span of ``base``, sorted by start, covers."""
+    out = []
+    for _, a, b in base:
+        if a >= end:
+            break
+        if b > start:
+            if a > start:
+                out.append((start, a))
+            start = b
+    return out + [(start, end)] if start < end else out
+
+
 def scan(text: str | None, model: Model) -> tuple[list[Span], list[Span]]:
     """Base spans and all spans of a text, by start and kind."""
     if not text:
         return [], []
     base = base_spans(text)
-    added = [("markov", *m.span()) for m in CANDIDATE.finditer(text) if eligible(m[0]) and not any(a < m.end() and m.start() < b for _, a, b in base) and model.ratio(m[0]) > model.limit]
+    # Base spans that end before a candidate are passed once; a longer one may lie among them, so the ends are kept rising.
+    ends, far = [], 0
+    for _, _, e in base:
+        ends.append(far := max(far, e))
+    added = []
+    for m in CANDIDATE.finditer(text):
+        near = base[bisect.bisect_right(ends, m.start()) :] if base else base
+        added += [("markov", i, j) for i, j in outside(*m.span(), near) if eligible(text[i:j]) and model.ratio(text[i:j]) > model.limit]
     return base, sorted(base + added, key=lambda s: (s[1], KINDS.index(s[0]), s[2])) if added else base
 
 
