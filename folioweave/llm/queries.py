@@ -111,10 +111,10 @@ FROM g
 """
 
 OP8_SQL = """
-WITH q AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL
+WITH q AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
   AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.v, b.v)::BIGINT AS score FROM q a JOIN q b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 20 = 0)
-SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s) WHERE rank <= 20
+s AS (SELECT a.r, a.vec_id AS query_id, b.vec_id, CASE WHEN len(a.v) = 0 THEN 0 ELSE list_inner_product(a.v, b.v)::BIGINT END AS score FROM q a JOIN q b ON a.r <> b.r AND len(a.v) = len(b.v) WHERE a.vec_id % 20 = 0)
+SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INT AS rank FROM s) WHERE rank <= 20
 """
 
 

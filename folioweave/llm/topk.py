@@ -1,17 +1,19 @@
 """Exact top-k by inner product over quantised vectors, with norm buckets.
 
-Queries and candidates are dealt to the cells of a grid of query blocks and candidate blocks, so each query meets
-each candidate in exactly one cell. In a cell, candidates are sorted by length and cut into buckets, longest first.
-For each bucket and query, the running k-th score gives a local cosine threshold theta = score / (|q| longest):
-above 1 the bucket is skipped; high thresholds use coordinate pruning (the best that the leading coordinates and the
-lengths of the rests allow), low ones length pruning (only candidates with |q| |c| >= score); what is left is
-multiplied out exactly. The best of each cell are merged by query.
-
-Defined cases: vectors that are null, empty, or hold a null or non-finite component, and rows without an id, take no
-part; vectors of another dimension than the query's are no candidates; rows with the query's own id are not its
-candidates; repeated rows are candidates, and queries, one by one; ties go to the smaller id; an empty table gives an
-empty result. Every finite vector takes part: where a squared length is beyond 2**53, so that doubles may round, scores
-are counted in whole numbers of any size. Ranks are exact then too; a score beyond 64 bits is given as null.
+All vectors are sorted by length and cut into global buckets, longest first, which are written. Each query meets the
+longest bucket first; its k-th score there is its floor. A bucket whose longest vector times the query's length stays
+under the floor holds nothing for the query, and as lengths only fall, a query needs a first stretch of the buckets, its
+reach: (query, bucket) pairs beyond it are left out before anything is shuffled. Queries are cut into blocks by reach, so
+a bucket travels only to blocks that reach it. Where a block meets a bucket, the bucket's candidates are taken in
+smaller steps by length, and for each step and query the local cosine threshold theta = floor / (|q| longest) decides:
+above 1 nothing is left; high thresholds use coordinate pruning (the best that the leading coordinates and the lengths
+of the rests allow), low ones length pruning (|q| |c| >= floor); what is left is multiplied out exactly.
+
+Defined cases: vectors that are null or hold a null or non-finite component, and rows without an id, take no part;
+vectors of another dimension than the query's are no candidates (empty vectors meet empty ones and score 0); a query's
+own row is not its candidate, but other rows with its id are; repeated rows are candidates, and queries, one by one; ties go to the smaller id; an empty table gives an empty
+result; other columns are not read. Every finite vector takes part: where a squared length is beyond 2**53, so that doubles may round,
+scores are counted in whole numbers of any size. Ranks are exact then too; a score beyond 64 bits is given as null.
 """
 
 from __future__ import annotations
@@ -27,13 +29,18 @@ from pyspark.sql import functions as F
 from folioweave.session import materialize
 
 SCALE = 64
-QUERY_BLOCK = 2048
-CANDIDATE_BLOCK = 16_384
-BUCKET = 512
+#: Queries in a block and candidates in a bucket, on average. Blocks grow with the number of queries, up to MOST_BLOCK,
+#: so that a bucket has COPIES copies at most until then; buckets grow so that there are MOST_BUCKETS at most.
+QUERY_BLOCK, MOST_BLOCK, COPIES = 4096, 65_536, 512
+CANDIDATE_BLOCK, MOST_BUCKETS = 16_384, 100_000
+#: Candidates in a step and queries in a tile: the products that are held at once.
+STEP, TILE = 512, 2048
 #: Above this local cosine threshold, coordinate pruning is tried; at most this many leading coordinates are used.
 COORDINATE_FROM, LEADING = 0.5, 16
-#: Products of vectors up to this squared length are exact in doubles, as are the sums on the way.
-EXACT = 2.0**53
+#: Below this share of allowed pairs, they are multiplied one by one, else as a block.
+SPARSE = 0.1
+#: Products of vectors up to this squared length are exact in doubles, as are the sums on the way; up to the other in singles.
+EXACT, EXACT_SINGLE = 2.0**53, 2.0**24
 
 
 def quantised(vectors: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
@@ -42,62 +49,91 @@ def quantised(vectors: DataFrame, key: str, vector: str, scale: int) -> DataFram
     plain = F.transform(raw, lambda x: x.cast("double"))
     # A bigint holds floors below 2**53 only as doubles do; larger doubles are whole.
     v = F.transform("plain", lambda x: F.when(F.abs(x * float(scale)) < EXACT, F.floor(x * float(scale)).cast("double")).otherwise(x * float(scale)))
-    sound = raw.isNotNull() & (F.size(raw) > 0) & F.forall(raw, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
+    sound = raw.isNotNull() & F.forall(raw, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     out = vectors.where(sound & F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").cast("long").alias("id"), plain.alias("plain")).withColumn("v", v)
-    fits = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x) <= EXACT
+    fits = squares("v") <= EXACT
     return out.select("id", F.when(fits, F.col("v")).alias("v"), F.when(~fits, F.col("plain")).alias("wide"), F.monotonically_increasing_id().alias("row"))
 
 
-def search_cell(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query index, candidate id and score of each query's best ``k`` of the cell's candidates."""
-    norms = np.sqrt((c * c).sum(axis=1))
+def squares(v: str) -> Column:
+    return F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)
+
+
+class Best:
+    """The best ``k`` of each of ``n`` queries so far, as flat arrays (query, score, id); ``floor`` is their k-th score."""
+
+    def __init__(self, floor: np.ndarray, k: int):
+        self.k, self.floor = k, floor.astype(float)
+        self.query, self.score, self.id = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
+
+    def add(self, query: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        if not len(query):
+            return
+        query, score, ids = np.concatenate([self.query, query]), np.concatenate([self.score, score]), np.concatenate([self.id, ids])
+        order = np.lexsort((ids, -score, query))
+        query = query[order]
+        starts = np.flatnonzero(np.diff(query, prepend=-1))
+        place = np.arange(len(query)) - np.repeat(starts, np.diff(np.append(starts, len(query))))
+        keep = place < self.k
+        self.query, self.score, self.id = query[keep], score[order][keep], ids[order][keep]
+        last = place == self.k - 1
+        np.maximum.at(self.floor, query[last], score[order][last])
+
+
+def search_cell(qrow: np.ndarray, q: np.ndarray, crow: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int, floor: np.ndarray) -> tuple[Best, int]:
+    """The best ``k`` of the candidates by query, and the number of products that were computed.
+
+    ``floor`` holds a score per query; candidates below it may be left out.
+    """
+    exact = c.astype(float), q.astype(float)
+    norms, lengths = (np.sqrt((x * x).sum(axis=1)) for x in exact)
+    single = max(norms.max(initial=0), lengths.max(initial=0)) ** 2 <= EXACT_SINGLE
     order = np.argsort(-norms, kind="stable")
-    c, cid, norms = c[order], cid[order], norms[order]
-    lengths = np.sqrt((q * q).sum(axis=1))
-    best = np.full((len(q), 0), 0.0)
-    ids = np.full((len(q), 0), 0, np.int64)
+    c, q = (x.astype(np.float32) if single else x for x in exact)
+    c, crow, cid, norms = c[order], crow[order], cid[order], norms[order]
     # Coordinates by weight over all candidates, so that the leading ones hold most of the lengths.
-    leading = np.argsort(-(c * c).sum(axis=0), kind="stable")[: min(LEADING, c.shape[1] // 2)]
-    rest_q = np.sqrt(np.maximum(0, lengths**2 - (q[:, leading] ** 2).sum(axis=1)))
-    for at in range(0, len(c), BUCKET):
-        part, part_ids, part_norms = c[at : at + BUCKET], cid[at : at + BUCKET], norms[at : at + BUCKET]
-        if best.shape[1] < k:
-            live = np.arange(len(q))
-            floor = np.full(len(q), -np.inf)
-        else:
-            floor = best[:, k - 1]
-            bound = lengths * part_norms[0]
-            live = np.flatnonzero(bound * (1 + 1e-12) >= floor)
-        if not len(live):
-            continue
-        theta = np.divide(floor[live], lengths[live] * part_norms[0], out=np.full(len(live), -np.inf), where=lengths[live] * part_norms[0] > 0)
-        by_coordinate = theta >= COORDINATE_FROM
-        for rows, coordinate in ((live[by_coordinate], True), (live[~by_coordinate], False)):
-            if not len(rows):
-                continue
-            if coordinate and len(leading):
-                rest_c = np.sqrt(np.maximum(0, part_norms**2 - (part[:, leading] ** 2).sum(axis=1)))
-                upper = q[np.ix_(rows, leading)] @ part[:, leading].T + np.outer(rest_q[rows], rest_c)
-                allowed = upper * (1 + 1e-9) + 1e-6 >= floor[rows, None]
-            else:
-                allowed = np.outer(lengths[rows], part_norms) * (1 + 1e-12) >= floor[rows, None]
-            some = allowed.any(axis=0)
-            if not some.any():
+    leading = np.argsort(-(exact[0] ** 2).sum(axis=0), kind="stable")[: min(LEADING, c.shape[1] // 2)]
+    rest = lambda x, n: np.sqrt(np.maximum(0, n**2 - (x[:, leading].astype(float) ** 2).sum(axis=1)))
+    rest_q, rest_c = rest(q, lengths), rest(c, norms)
+    best, products = Best(floor, k), 0
+    for first in range(0, len(q), TILE):
+        tile = np.arange(first, min(first + TILE, len(q)))
+        for at in range(0, len(c), STEP):
+            step = slice(at, min(at + STEP, len(c)))
+            longest = norms[at]
+            live = tile[lengths[tile] * longest * (1 + 1e-9) >= best.floor[tile]]
+            if not len(live):
                 continue
-            scores = q[rows] @ part[some].T
-            scores[~allowed[:, some] | (qid[rows, None] == part_ids[some][None, :])] = -np.inf
-            keep_s = np.concatenate([best[rows], scores], axis=1)
-            keep_i = np.concatenate([ids[rows], np.broadcast_to(part_ids[some], scores.shape)], axis=1)
-            if best.shape[1] < k:
-                grown = min(k, keep_s.shape[1])
-                wide_s, wide_i = np.full((len(q), grown), -np.inf), np.full((len(q), grown), np.iinfo(np.int64).max)
-            else:
-                grown, wide_s, wide_i = k, best, ids
-            top = np.lexsort((keep_i, -keep_s), axis=1)[:, :grown]
-            wide_s[rows], wide_i[rows] = np.take_along_axis(keep_s, top, 1), np.take_along_axis(keep_i, top, 1)
-            best, ids = wide_s, wide_i
-    n, m = np.nonzero(np.isfinite(best))
-    return n, ids[n, m], best[n, m]
+            reach = lengths[live] * longest
+            theta = np.divide(best.floor[live], reach, out=np.full(len(live), -np.inf), where=reach > 0)
+            by_coordinate = (theta >= COORDINATE_FROM) & bool(len(leading))
+            for rows, coordinate in ((live[by_coordinate], True), (live[~by_coordinate], False)):
+                if not len(rows):
+                    continue
+                if coordinate:
+                    upper = q[np.ix_(rows, leading)].astype(float) @ c[step][:, leading].astype(float).T + np.outer(rest_q[rows], rest_c[step])
+                    allowed = upper + 1e-9 * np.outer(lengths[rows], norms[step]) >= best.floor[rows, None]
+                else:
+                    allowed = np.outer(lengths[rows], norms[step]) * (1 + 1e-9) >= best.floor[rows, None]
+                if allowed.mean() < SPARSE:
+                    i, j = np.nonzero(allowed)
+                    products += len(i)
+                    scores = np.einsum("ij,ij->i", q[rows[i]], c[at + j]).astype(float)
+                    hit = (scores >= best.floor[rows[i]]) & (qrow[rows[i]] != crow[at + j])
+                    i, j, scores = i[hit], j[hit], scores[hit]
+                else:
+                    some = np.flatnonzero(allowed.any(axis=0))
+                    products += len(rows) * len(some)
+                    block = (q[rows] @ c[at + some].T).astype(float)
+                    block[~allowed[:, some] | (qrow[rows, None] == crow[at + some][None, :])] = -np.inf
+                    enough = best.floor[rows]
+                    if block.shape[1] > k:
+                        # Scores under the k-th of the block cannot be among the best; equal ones stay for the ids to decide.
+                        enough = np.maximum(enough, np.partition(block, block.shape[1] - k, axis=1)[:, block.shape[1] - k])
+                    i, j = np.nonzero((block >= enough[:, None]) & np.isfinite(block))
+                    scores, j = block[i, j], some[j]
+                best.add(rows[i], scores, cid[at + j])
+    return best, products
 
 
 def whole(x: float, scale: int) -> int:
@@ -114,7 +150,7 @@ def estimates(vectors: np.ndarray, scale: int) -> np.ndarray:
     return np.where(np.isfinite(y), np.ldexp(np.floor(y), -top), np.ldexp(vectors, -top) * float(scale))
 
 
-def search_wide(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int, scale: int) -> list[tuple[int, int, int]]:
+def search_wide(qrow: np.ndarray, q: np.ndarray, crow: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int, scale: int) -> list[tuple[int, int, int]]:
     """As ``search_cell``, for plain vectors of any finite size, with scores in whole numbers.
 
     Scores in doubles with a bound of their error leave out what cannot be among the best ``k``; the rest is counted.
@@ -126,7 +162,7 @@ def search_wide(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray,
         near = estimates(v[None, :], scale)[0]
         score = near_c @ near
         slack = (width + 8) * 2.0**-51 * width * largest * np.abs(near).max() + width * 2.0**-1000
-        other = np.flatnonzero(cid != qid[i])
+        other = np.flatnonzero(crow != qrow[i])
         low = score[other] - slack[other]
         floor = np.partition(low, len(low) - k)[len(low) - k] if len(low) > k else -math.inf
         own, seen, best = counted(v), {}, []
@@ -150,44 +186,160 @@ def beyond(score: int) -> str | None:
     return text if score > 0 else text.translate(str.maketrans("0123456789abcdef", "fedcba9876543210"))
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", scale: int = SCALE, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
-    """Rows (query_id, rank, vec_id, score). ``is_query`` is a condition on the column ``id``.
+def plain(v: pd.Series, wide: pd.Series, scale: int) -> np.ndarray:
+    """Vectors as they were; half a step is added to quantised ones, so that the floor gives the same whole number again."""
+    return np.stack([np.asarray(w) if w is not None else (np.asarray(x) + 0.5) / scale for x, w in zip(v, wide, strict=True)])
 
-    A cell holds ``query_block`` queries and ``candidate_block`` candidates on average. Each candidate is sent to as
-    many cells as there are query blocks: the work of an exact search without an index over all of them.
-    """
-    rows = materialize(quantised(vectors, key, vector, scale), "quantised")
-    n, m = rows.agg(F.count(F.lit(1)), F.count(F.when(is_query, 1))).first()
-    across, down = max(1, -(-m // query_block)), max(1, -(-n // candidate_block))
+
+def anew(df: DataFrame, *columns: str) -> DataFrame:
+    """Columns under new attributes: both sides of a cogroup come from one table, and unions of such lose columns otherwise."""
+    return df.select(*(F.col(c).alias(c) for c in columns))
+
+
+def stack(v: pd.Series) -> np.ndarray:
+    return np.stack(v.to_list())
+
+
+FOUND = "row long, query_id long, vec_id long, score long, sign int, beyond string, products long"
+
+
+def frame(row: np.ndarray, query_id: np.ndarray, vec_id: np.ndarray, scores: list | np.ndarray, products: int) -> pd.DataFrame:
+    """Found rows, and one row without a query that holds the number of products."""
+    n = len(row)
+    if isinstance(scores, np.ndarray):
+        score, sign, far = pd.array(scores.astype(np.int64), "Int64"), np.zeros(n, np.int32), [None] * n
+    else:
+        far = list(map(beyond, scores))
+        score = pd.array([s if f is None else None for s, f in zip(scores, far, strict=True)], "Int64")
+        sign = np.array([0 if f is None else 1 if s > 0 else -1 for s, f in zip(scores, far, strict=True)], np.int32)
+    out = pd.DataFrame({"row": pd.array(row, "Int64"), "query_id": pd.array(query_id, "Int64"), "vec_id": pd.array(vec_id, "Int64"), "score": score, "sign": sign, "beyond": pd.Series(far, dtype=object), "products": pd.array([None] * n, "Int64")})
+    count = pd.DataFrame({"row": pd.array([None], "Int64"), "query_id": pd.array([None], "Int64"), "vec_id": pd.array([None], "Int64"), "score": pd.array([None], "Int64"), "sign": np.zeros(1, np.int32), "beyond": pd.Series([None], dtype=object), "products": pd.array([products], "Int64")})
+    return pd.concat([out, count])
+
+
+def cells(left: pd.DataFrame, right: pd.DataFrame, k: int) -> tuple[pd.DataFrame, np.ndarray]:
+    """Found rows of queries (id, row, v, floor) among candidates (id, row, v) of their own dimension, and the new floors."""
+    floor = left["floor"].to_numpy().copy()
+    parts, products = [], 0
+    right_size = right["v"].map(len)
+    for size, some in left.reset_index(drop=True).groupby(left["v"].map(len).to_numpy()):
+        fit, at = right[right_size == size], some.index.to_numpy()
+        if len(fit):
+            best, n = search_cell(some["row"].to_numpy(), stack(some["v"]), fit["row"].to_numpy(), fit["id"].to_numpy(), stack(fit["v"]), k, floor[at])
+            floor[at] = best.floor
+            products += n
+            parts.append((some["row"].to_numpy()[best.query], some["id"].to_numpy()[best.query], best.id, best.score))
+    found = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.empty(0, np.int64)] * 3 + [np.empty(0)]
+    return frame(*found, products), floor
+
+
+def wide_cells(queries: DataFrame, candidates: DataFrame, k: int, scale: int, blocks: tuple[int, int]) -> DataFrame:
+    """All queries against all candidates in whole numbers, in the cells of a grid; for the vectors beyond EXACT alone."""
+    across, down = blocks
     deal = lambda parts, salt: F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(parts)).cast("int")
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    queries = rows.where(is_query).select(deal(across, 1).alias("qb"), every(down).alias("cb"), "id", "row", "v", "wide")
-    candidates = rows.select(every(across).alias("qb"), deal(down, 2).alias("cb"), "id", "v", "wide")
 
     def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
+        if not len(left) or not len(right):
+            return frame(*[np.empty(0, np.int64)] * 3, [], 0)
         for t in (left, right):
-            t["is_wide"] = t["wide"].notna()
-            t["size"] = t["v"].where(~t["is_wide"], t["wide"]).map(len)
+            t["size"] = t["v"].where(t["wide"].isna(), t["wide"]).map(len)
         for size, some in left.groupby("size"):
             fit = right[right["size"] == size]
-            short, near = some[~some["is_wide"]], fit[~fit["is_wide"]]
-            if len(short) and len(near):
-                i, ids, scores = search_cell(short["id"].to_numpy(), np.stack(short["v"].to_list()), near["id"].to_numpy(), np.stack(near["v"].to_list()), k)
-                out.append(pd.DataFrame({"row": short["row"].to_numpy()[i], "query_id": short["id"].to_numpy()[i], "vec_id": ids, "score": pd.array(scores.astype(np.int64), "Int64"), "sign": 0, "beyond": None}))
-            for asked, met in ((short, fit[fit["is_wide"]]), (some[some["is_wide"]], fit)):
-                if len(asked) and len(met):
-                    found = search_wide(asked["id"].to_numpy(), plain(asked), met["id"].to_numpy(), plain(met), k, scale)
-                    if found:
-                        i, ids, scores = map(list, zip(*found, strict=True))
-                        far = list(map(beyond, scores))
-                        out.append(pd.DataFrame({"row": asked["row"].to_numpy()[i], "query_id": asked["id"].to_numpy()[i], "vec_id": ids, "score": pd.array([s if f is None else None for s, f in zip(scores, far, strict=True)], "Int64"), "sign": [0 if f is None else 1 if s > 0 else -1 for s, f in zip(scores, far, strict=True)], "beyond": far}))
-        return pd.concat(out) if out else pd.DataFrame({c: np.empty(0, object if c == "beyond" else np.int64) for c in ("row", "query_id", "vec_id", "score", "sign", "beyond")})
-
-    def plain(t: pd.DataFrame) -> np.ndarray:
-        # Half a step more, so that the floor gives the same whole number again for any scale.
-        return np.stack([np.asarray(w) if far else (np.asarray(v) + 0.5) / scale for far, v, w in zip(t["is_wide"], t["v"], t["wide"], strict=True)])
-
-    found = queries.groupBy("qb", "cb").cogroup(candidates.groupBy("qb", "cb")).applyInPandas(cell, "row long, query_id long, vec_id long, score long, sign int, beyond string")
+            if len(fit):
+                found = search_wide(some["row"].to_numpy(), plain(some["v"], some["wide"], scale), fit["row"].to_numpy(), fit["id"].to_numpy(), plain(fit["v"], fit["wide"], scale), k, scale)
+                i, ids, scores = map(list, zip(*found, strict=True)) if found else ([], [], [])
+                out.append(frame(some["row"].to_numpy()[i], some["id"].to_numpy()[i], np.array(ids, np.int64), scores, len(some) * len(fit)))
+        return pd.concat(out) if out else frame(*[np.empty(0, np.int64)] * 3, [], 0)
+
+    left = anew(queries, "id", "row", "v", "wide").select(deal(across, 1).alias("qb"), every(down).alias("cb"), "*")
+    right = anew(candidates, "id", "row", "v", "wide").select(every(across).alias("qb"), deal(down, 2).alias("cb"), "*")
+    return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(cell, FOUND)
+
+
+def found_rows(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", scale: int = SCALE, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
+    """All rows that the searches of the cells found, by FOUND; those without ``row`` hold numbers of products."""
+    rows = materialize(quantised(vectors, key, vector, scale).withColumn("length", F.sqrt(squares("v"))), "quantised")
+    asks, near, wide = F.coalesce(is_query, F.lit(False)), F.col("v").isNotNull(), F.col("wide").isNotNull()
+    count = lambda c: F.count(F.when(c, 1))
+    largest = F.array_max(F.transform("v", lambda x: F.abs(x)))
+    n, m, n_wide, m_wide, most = rows.agg(count(near), count(near & asks), count(wide), count(wide & asks), F.max(largest)).first()
+    out = []
+    if n and m:
+        # The smallest type that holds all components travels.
+        kind = next((t for t, top in (("tinyint", 2**7), ("smallint", 2**15), ("int", 2**31)) if (most or 0) < top), "double")
+        out.append(search(rows.where(near).select("id", "row", F.col("v").cast(f"array<{kind}>").alias("v"), "length"), asks, n, m, k, query_block, candidate_block))
+    if n_wide:
+        grid = lambda asked, met: (max(1, -(-asked // query_block)), max(1, -(-met // candidate_block)))
+        out.append(wide_cells(rows.where(near & asks), rows.where(wide), k, scale, grid(m, n_wide)))
+        out.append(wide_cells(rows.where(wide & asks), rows, k, scale, grid(m_wide, n + n_wide)))
+    if not out:
+        return rows.sparkSession.createDataFrame([], FOUND)
+    all_found = out[0]
+    for more in out[1:]:
+        all_found = all_found.unionByName(more)
+    return all_found
+
+
+def search(rows: DataFrame, asks: Column, n: int, m: int, k: int, query_block: int, candidate_block: int) -> DataFrame:
+    """The found rows of ``m`` queries among ``n`` vectors (id, row, v, length); ``rows`` is written."""
+    spark = rows.sparkSession
+    by_length = rows.repartitionByRange(max(1, min(MOST_BUCKETS, -(-n // candidate_block))), F.desc("length"), F.xxhash64("row"))
+    buckets = materialize(by_length.withColumn("bucket", F.spark_partition_id()), "buckets")
+    # Two numbers by bucket, of which there are MOST_BUCKETS at most.
+    tops = dict(buckets.groupBy("bucket").agg(F.max("length")).collect())
+    numbers = sorted(tops)
+    seed, later = numbers[0], np.array([tops[b] for b in numbers[1:]])
+    block = min(MOST_BLOCK, max(query_block, -(-m // COPIES)))
+    seeds = -(-m // block)
+
+    def first_meeting(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left):
+            return pd.DataFrame({x: pd.Series(dtype=object) for x in ("id", "row", "v", "length", "floor", "reach", "hits", "products")})
+        left = left.assign(floor=-np.inf)
+        found, floor = cells(left, right, k)
+        hits = found.dropna(subset="row")
+        by_row = {r: list(zip(h["vec_id"].tolist(), h["score"].tolist(), strict=True)) for r, h in hits.groupby("row")}
+        # Lengths fall from bucket to bucket, so those that may hold more are a first stretch.
+        reach = np.searchsorted(-later, -np.divide(floor / (1 + 1e-9), left["length"], out=np.where(floor > 0, np.inf, -np.inf), where=left["length"].to_numpy() > 0), side="right")
+        products = [int(found["products"].dropna().sum())] + [0] * (len(left) - 1)
+        return left.assign(floor=floor, reach=reach, hits=[[{"vec_id": a, "score": b} for a, b in by_row.get(r, [])] for r in left["row"]], products=products)[["id", "row", "v", "length", "floor", "reach", "hits", "products"]]
+
+    v = dict(rows.dtypes)["v"]
+    queries = buckets.where(asks).withColumn("qb", F.pmod(F.xxhash64("row"), F.lit(seeds)).cast("int")).select("qb", "id", "row", "v", "length")
+    longest = anew(buckets.where(F.col("bucket") == seed), "id", "row", "v").select(F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))).alias("qb"), "*")
+    met = materialize(queries.groupBy("qb").cogroup(longest.groupBy("qb")).applyInPandas(first_meeting, f"id long, row long, v {v}, length double, floor double, reach int, hits array<struct<vec_id:long,score:long>>, products long"), "first-meetings")
+    hit = met.select("row", F.col("id").alias("query_id"), F.explode("hits").alias("hit")).select("row", "query_id", "hit.vec_id", "hit.score")
+    nothing = lambda t: F.lit(None).cast(t)
+    found = hit.select("row", "query_id", "vec_id", "score", F.lit(0).alias("sign"), nothing("string").alias("beyond"), nothing("long").alias("products"))
+    found = found.unionByName(met.where("products > 0").select(*(nothing("long").alias(c) for c in ("row", "query_id", "vec_id", "score")), F.lit(0).alias("sign"), nothing("string").alias("beyond"), "products"))
+    going = met.where("reach > 0").count()
+    if not going:
+        return found
+    asked = met.where("reach > 0").repartitionByRange(-(-going // block), F.desc("reach"), F.xxhash64("row"))
+    asked = materialize(asked.select(F.spark_partition_id().alias("qb"), "id", "row", "v", "floor", "reach"), "asked")
+    # Blocks are in order of falling reach, so a bucket is met by a first stretch of them.
+    reaches = dict(asked.groupBy("qb").agg(F.max("reach")).collect())
+    order = sorted(reaches)
+    fall = -np.array([reaches[b] for b in order])
+    meets = [(b, i + 1, int(np.searchsorted(fall, -(i + 1), side="right"))) for i, b in enumerate(numbers[1:])]
+    meets = spark.createDataFrame([(b, place, order[c - 1]) for b, place, c in meets if c], "of int, place int, last int")
+    left = asked.select("qb", F.explode(F.sequence(F.lit(1), "reach")).alias("place"), "id", "row", "v", "floor")
+    right = buckets.join(F.broadcast(meets), F.col("bucket") == F.col("of")).select(F.explode(F.sequence(F.lit(0), "last")).alias("qb"), "place", "id", "row", "v")
+
+    def meeting(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return cells(left, right, k)[0] if len(left) and len(right) else frame(*[np.empty(0, np.int64)] * 3, [], 0)
+
+    return found.unionByName(left.groupBy("qb", "place").cogroup(right.groupBy("qb", "place")).applyInPandas(meeting, FOUND))
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", scale: int = SCALE, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
+    """Rows (query_id, rank, vec_id, score). ``is_query`` is a condition on the column ``id``.
+
+    Where lengths differ little and nothing can be pruned, this is the work of an exact search without an index: each
+    bucket travels to all blocks of queries, at most COPIES of them up to COPIES * MOST_BLOCK queries.
+    """
+    found = found_rows(vectors, is_query, k, key, vector, scale, query_block, candidate_block).where(F.col("row").isNotNull())
     order = Window.partitionBy("row").orderBy(F.desc("sign"), F.desc("beyond"), F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
