@@ -269,7 +269,7 @@ def found_rows(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "ve
     if n and m:
         # The smallest type that holds all components travels.
         kind = next((t for t, top in (("tinyint", 2**7), ("smallint", 2**15), ("int", 2**31)) if (most or 0) < top), "double")
-        out.append(search(rows.where(near).select("id", "row", F.col("v").cast(f"array<{kind}>").alias("v"), "length"), asks, n, m, k, query_block, candidate_block))
+        out.append(search(rows.where(near).select("id", "row", F.col("v").cast(f"array<{kind}>").alias("v"), "length"), asks, m, k, query_block, candidate_block))
     if n_wide:
         grid = lambda asked, met: (max(1, -(-asked // query_block)), max(1, -(-met // candidate_block)))
         out.append(wide_cells(rows.where(near & asks), rows.where(wide), k, scale, grid(m, n_wide)))
@@ -282,15 +282,28 @@ def found_rows(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "ve
     return all_found
 
 
-def search(rows: DataFrame, asks: Column, n: int, m: int, k: int, query_block: int, candidate_block: int) -> DataFrame:
-    """The found rows of ``m`` queries among ``n`` vectors (id, row, v, length); ``rows`` is written."""
-    spark = rows.sparkSession
-    by_length = rows.repartitionByRange(max(1, min(MOST_BUCKETS, -(-n // candidate_block))), F.desc("length"), F.xxhash64("row"))
-    buckets = materialize(by_length.withColumn("bucket", F.spark_partition_id()), "buckets")
-    # Two numbers by bucket, of which there are MOST_BUCKETS at most.
-    tops = dict(buckets.groupBy("bucket").agg(F.max("length")).collect())
-    numbers = sorted(tops)
-    seed, later = numbers[0], np.array([tops[b] for b in numbers[1:]])
+def ranges(rows: DataFrame, order: list[Column], size: int, most: int, value: str, name: str) -> tuple[DataFrame, list[float]]:
+    """``rows``, written, with the ``place`` of each in a row of ranges of about ``size`` rows by ``order``, ``most`` at most,
+    and the largest ``value`` of each range. Spark's partitions are the ranges, small neighbours taken together."""
+    total = rows.count()
+    parted = materialize(rows.repartitionByRange(max(1, min(most, -(-total // size))), *order).withColumn("part", F.spark_partition_id()), name)
+    places, tops, held, size = [], [], size, max(size, -(-total // most))
+    # Three numbers by partition.
+    for part, n, top in sorted(map(tuple, parted.groupBy("part").agg(F.count(F.lit(1)), F.max(value)).collect())):
+        if 2 * held >= size:
+            held = 0
+            tops.append(top)
+        held += n
+        tops[-1] = max(tops[-1], top)
+        places.append((part, len(tops) - 1))
+    numbers = rows.sparkSession.createDataFrame(places, "of int, place int")
+    return parted.join(F.broadcast(numbers), F.col("part") == F.col("of")).drop("part", "of"), tops
+
+
+def search(rows: DataFrame, asks: Column, m: int, k: int, query_block: int, candidate_block: int) -> DataFrame:
+    """The found rows of ``m`` queries among vectors (id, row, v, length); ``rows`` is written."""
+    buckets, tops = ranges(rows, [F.desc("length"), F.xxhash64("row")], candidate_block, MOST_BUCKETS, "length", "buckets")
+    later = np.array(tops[1:])
     block = min(MOST_BLOCK, max(query_block, -(-m // COPIES)))
     seeds = -(-m // block)
 
@@ -308,30 +321,25 @@ def search(rows: DataFrame, asks: Column, n: int, m: int, k: int, query_block: i
 
     v = dict(rows.dtypes)["v"]
     queries = buckets.where(asks).withColumn("qb", F.pmod(F.xxhash64("row"), F.lit(seeds)).cast("int")).select("qb", "id", "row", "v", "length")
-    longest = anew(buckets.where(F.col("bucket") == seed), "id", "row", "v").select(F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))).alias("qb"), "*")
+    longest = anew(buckets.where("place = 0"), "id", "row", "v").select(F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))).alias("qb"), "*")
     met = materialize(queries.groupBy("qb").cogroup(longest.groupBy("qb")).applyInPandas(first_meeting, f"id long, row long, v {v}, length double, floor double, reach int, hits array<struct<vec_id:long,score:long>>, products long"), "first-meetings")
     hit = met.select("row", F.col("id").alias("query_id"), F.explode("hits").alias("hit")).select("row", "query_id", "hit.vec_id", "hit.score")
     nothing = lambda t: F.lit(None).cast(t)
     found = hit.select("row", "query_id", "vec_id", "score", F.lit(0).alias("sign"), nothing("string").alias("beyond"), nothing("long").alias("products"))
     found = found.unionByName(met.where("products > 0").select(*(nothing("long").alias(c) for c in ("row", "query_id", "vec_id", "score")), F.lit(0).alias("sign"), nothing("string").alias("beyond"), "products"))
-    going = met.where("reach > 0").count()
-    if not going:
+    asked, reaches = ranges(met.where("reach > 0").select("id", "row", "v", "floor", "reach"), [F.desc("reach"), F.xxhash64("row")], block, MOST_BUCKETS, "reach", "asked")
+    if not reaches:
         return found
-    asked = met.where("reach > 0").repartitionByRange(-(-going // block), F.desc("reach"), F.xxhash64("row"))
-    asked = materialize(asked.select(F.spark_partition_id().alias("qb"), "id", "row", "v", "floor", "reach"), "asked")
     # Blocks are in order of falling reach, so a bucket is met by a first stretch of them.
-    reaches = dict(asked.groupBy("qb").agg(F.max("reach")).collect())
-    order = sorted(reaches)
-    fall = -np.array([reaches[b] for b in order])
-    meets = [(b, i + 1, int(np.searchsorted(fall, -(i + 1), side="right"))) for i, b in enumerate(numbers[1:])]
-    meets = spark.createDataFrame([(b, place, order[c - 1]) for b, place, c in meets if c], "of int, place int, last int")
-    left = asked.select("qb", F.explode(F.sequence(F.lit(1), "reach")).alias("place"), "id", "row", "v", "floor")
-    right = buckets.join(F.broadcast(meets), F.col("bucket") == F.col("of")).select(F.explode(F.sequence(F.lit(0), "last")).alias("qb"), "place", "id", "row", "v")
+    meets = [(i, int(np.searchsorted(-np.array(reaches), -i, side="right")) - 1) for i in range(1, len(tops))]
+    meets = rows.sparkSession.createDataFrame([x for x in meets if x[1] >= 0], "of int, last int")
+    left = asked.select(F.col("place").alias("qb"), F.explode(F.sequence(F.lit(1), "reach")).alias("cb"), "id", "row", "v", "floor")
+    right = buckets.join(F.broadcast(meets), F.col("place") == F.col("of")).select(F.explode(F.sequence(F.lit(0), "last")).alias("qb"), F.col("place").alias("cb"), F.col("id").alias("id"), F.col("row").alias("row"), F.col("v").alias("v"))
 
     def meeting(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return cells(left, right, k)[0] if len(left) and len(right) else frame(*[np.empty(0, np.int64)] * 3, [], 0)
 
-    return found.unionByName(left.groupBy("qb", "place").cogroup(right.groupBy("qb", "place")).applyInPandas(meeting, FOUND))
+    return found.unionByName(left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(meeting, FOUND))
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", scale: int = SCALE, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
