@@ -11,15 +11,22 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
-#: Rows of one Arrow batch. Texts can be long, so batches are kept short to bound a Python worker's memory.
-ARROW_ROWS = "512"
+#: Bounds of one Arrow batch, and so of what a Python worker holds at a time beside one row: texts can be long.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "512", "spark.sql.execution.arrow.maxBytesPerBatch": "16777216"}
 
 _shipped: set[str] = set()
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Make a session ready: executors can import this package, Arrow batches are bounded."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    """Make a session ready: executors can import this package, Arrow batches are bounded.
+
+    The bounds hold for the session's later queries too, as plans are run after this returns; bounds that the session
+    has set itself are kept.
+    """
+    own = dict(spark.conf.getAll)
+    for name, value in BATCHES.items():
+        if name not in own:
+            spark.conf.set(name, value)
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         out = os.path.join(tempfile.mkdtemp(prefix="folioweave-"), "folioweave.zip")
@@ -32,9 +39,12 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none (tests)."""
+    """The folder that driver and executors share. Where the session names none, a temporary one if the driver is the only
+    machine, else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="folioweave-shared-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
