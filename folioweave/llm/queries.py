@@ -32,7 +32,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(prepare(spark), sf_dir, "pages")
-    records = warc.round_trip(pages)
+    records = warc.round_trip(pages, with_payload=False)
     return records.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
