@@ -21,20 +21,20 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import regex
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioweave.llm.warc import file_system
-from folioweave.session import scratch_path
+from folioweave.session import materialize, scratch_path
 
 #: The pattern of the byte-level pre-tokenizer (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Below this code point the two libraries' character classes agree; texts with others are split by the tokenizer.
 AGREED = "՗"
 BLOCK_CHARS = 24_000_000
-#: Words are dealt to so many parts for each shuffle partition, and to so many at most.
-PARTS_A_PARTITION, MOST_PARTS = 4, 4096
+#: Words are dealt to parts, whose distinct words a task holds: one for so many bytes of text, but some for each shuffle
+#: partition, and so many at most (at 100 TB a part has the distinct words of 6 GB of text that fall to it).
+PART_BYTES, PARTS_A_PARTITION, MOST_PARTS = 32 << 20, 4, 16_384
 #: Words of the texts that a task returns at a time.
 RUN_WORDS = 500_000
 
@@ -98,13 +98,13 @@ def blocks(docs: DataFrame, folder: str, vocabulary: str, parts: int, text: str
     """The distinct words of each block of texts, dealt to ``parts`` parts by a hash of the word: a row for each
     block and part that has words, with packed words and their slots.
 
-    The positions of a block go to a file in the shared ``folder``, named by the block. Blocks, slots and parts
-    follow from a task's input alone, so a task that is run again writes the same file and the same rows. Each block
-    holds the empty word too, so that blocks without words are not lost.
+    The positions of a block go to a file in the shared ``folder``, under a name of its own attempt that the block's
+    rows carry. The rows are written, so that all of a block come from one attempt, whatever order a task that is run
+    again sees its texts in. Each block holds the empty word too, so that blocks without words are not lost.
     """
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, block = Splitter(vocabulary), TaskContext.get().partitionId() << 32
+        splitter = Splitter(vocabulary)
         fs, root = file_system(folder)
         fs.create_dir(root, recursive=True)
         index: dict[str, int] = {"": 0}
@@ -116,8 +116,7 @@ def blocks(docs: DataFrame, folder: str, vocabulary: str, parts: int, text: str
             rank = np.empty(len(index), "<u4")
             rank[by_use] = np.arange(len(index))
             row = {"keys": [keys], "counts": [planes(np.array(counts))], "slots": [planes(rank[old[1:]])]}
-            pq.write_table(pa.table(row), f"{root}/{block}-{(attempt := uuid.uuid4().hex)}", filesystem=fs)
-            fs.move(f"{root}/{block}-{attempt}", f"{root}/{block}")
+            pq.write_table(pa.table(row), f"{root}/{(block := uuid.uuid4().hex)}", filesystem=fs)
             words = list(index)
             part = np.fromiter((zlib.crc32(w.encode()) % parts for w in words), "<u4", len(words))
             order = np.lexsort((rank, part))
@@ -126,7 +125,7 @@ def blocks(docs: DataFrame, folder: str, vocabulary: str, parts: int, text: str
             for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
                 some = order[a:b]
                 out.append((int(part[some[0]]), block, planes(np.diff(rank[some].astype(np.int64), prepend=0)), *strings([words[i] for i in some.tolist()])))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["part", "block", "slots", "lengths", "words"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["part", "block", "slots", "lengths", "words"])
 
         for batch in batches:
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -141,11 +140,11 @@ def blocks(docs: DataFrame, folder: str, vocabulary: str, parts: int, text: str
                 if chars >= block_chars:
                     yield close()
                     index, keys, counts, slots, chars = {"": 0}, [], [], [np.zeros(1, "<u4")], 0
-                    block += 1
         if keys:
             yield close()
 
-    return docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(split, "part int, block long, slots binary, lengths binary, words binary")
+    texts = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
+    return materialize(texts.mapInArrow(split, "part int, block string, slots binary, lengths binary, words binary"), "bpe-words")
 
 
 def encoded_words(words: DataFrame, vocabulary: str) -> DataFrame:
@@ -172,9 +171,9 @@ def encoded_words(words: DataFrame, vocabulary: str) -> DataFrame:
                 ids = [table[w] for w in known]
                 out.append((row["block"], row["slots"], planes(np.array([len(x) // 4 for x in ids])), planes(np.frombuffer(b"".join(ids), "<u4"))))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["block", "slots", "counts", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["block", "slots", "counts", "ids"])
 
-    return words.repartition("part").sortWithinPartitions("part").mapInArrow(encode, "block long, slots binary, counts binary, ids binary")
+    return words.repartition("part").sortWithinPartitions("part").mapInArrow(encode, "block string, slots binary, counts binary, ids binary")
 
 
 def piece_table(vocabulary: str) -> list[bytes]:
@@ -196,7 +195,8 @@ def encode_decode(docs: DataFrame, vocabulary: str, text: str = "text", key: str
     size that each task holds.
     """
     folder = scratch_path(docs.sparkSession, "bpe-positions")
-    parts = min(MOST_PARTS, PARTS_A_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`").cast("string")))).first()[0] or 0
+    parts = min(MOST_PARTS, max(-(-size // PART_BYTES), PARTS_A_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     back = encoded_words(blocks(docs, folder, vocabulary, parts, text, key, block_chars), vocabulary)
 
     def assemble(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -36,13 +36,14 @@ PIECE_DDL = "key long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 class WordEncoder:
-    """Encodes texts as the tokenizer does, remembering the ids of stretches between white space; the memory is bounded.
+    """Encodes texts as the tokenizer does, remembering the ids of short stretches between white space; by the bounds on
+    their number and length the memory stays under about 150 MB.
 
     The splitter drops white space and no word holds any, so a stretch's ids do not depend on its neighbours.
     Words that are new go to the tokenizer in one call, parted by a special token.
     """
 
-    CACHE = 1_000_000
+    CACHE, CACHED_CHARS = 400_000, 48
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
@@ -58,18 +59,22 @@ class WordEncoder:
         self.words = re.compile(PATTERN).findall
         self.cache: dict[str, bytes] = {}
 
-    def learn(self, stretches: list[str]) -> None:
+    def learn(self, stretches: list[str]) -> dict[str, bytes]:
+        """The ids of stretches that are not remembered yet; short ones and their short words are remembered."""
+        if len(self.cache) > self.CACHE:
+            self.cache.clear()
         parts = [self.words(s) for s in stretches]
         new = list(dict.fromkeys(w for p in parts for w in p if w not in self.cache))
         # The last id of a word is one that ends words, so the ids of the words can be told apart.
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
-        cuts, raw, at = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist(), ids.tobytes(), 0
+        cuts, raw, at, found = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist(), ids.tobytes(), 0, {}
         for w, cut in zip(new, cuts, strict=True):
-            self.cache[w] = raw[at:cut]
+            found[w] = raw[at:cut]
             at = cut
-        get = self.cache.__getitem__
         for s, p in zip(stretches, parts, strict=True):
-            self.cache[s] = b"".join(map(get, p))
+            found[s] = b"".join(found[w] if w in found else self.cache[w] for w in p)
+        self.cache.update((w, x) for w, x in found.items() if len(w) <= self.CACHED_CHARS)
+        return found
 
     def encode_batch(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text (strings, no nulls) as little-endian 32-bit numbers."""
@@ -78,11 +83,10 @@ class WordEncoder:
         split = pc.utf8_split_whitespace(pc.utf8_lower(sure))
         coded = split.flatten().dictionary_encode()
         known = coded.dictionary.to_pylist()
-        if len(self.cache) > self.CACHE:
-            self.cache.clear()
-        if new := [w for w in known if w not in self.cache]:
-            self.learn(new)
-        ids_of = list(map(self.cache.__getitem__, known))
+        here = {w: self.cache[w] for w in known if w in self.cache}
+        if new := [w for w in known if w not in here]:
+            here |= self.learn(new)
+        ids_of = list(map(here.__getitem__, known))
         size = np.array([len(x) for x in ids_of], np.int64) // 4
         flat, start = np.frombuffer(b"".join(ids_of), "<u4"), np.cumsum(size) - size
         which = coded.indices.to_numpy(zero_copy_only=False)
@@ -153,23 +157,25 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, group_piece
 
     ``group_pieces`` is the mean size of a group; the number of groups follows the number of pieces.
     """
-    pieces = materialize(cut(docs, vocabulary, capacity, text, key, with_ids), "pieces").withColumn("row", F.monotonically_increasing_id())
-    return place(materialize(pieces, "pieces-numbered") if with_ids else pieces, capacity, group_pieces, seed)
+    pieces = cut(docs, vocabulary, capacity, text, key, with_ids).withColumn("row", F.monotonically_increasing_id())
+    return place(materialize(pieces, "pieces"), capacity, group_pieces, seed)
 
 
 def place(pieces: DataFrame, capacity: int, group_pieces: int, seed: int) -> DataFrame:
+    """``pieces`` (written, with ``row``) with their sequences and offsets. Ids, if there are any, meet their places by row."""
     full = F.col("length") == capacity
     groups = max(1, -(-pieces.where(~full).count() // group_pieces))
-    rest = pieces.where(~full).withColumn("group", F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(groups)))
+    rest = pieces.where(~full).withColumn("group", F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(groups))).select("group", "row", "length")
 
     def fill(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("row", kind="stable")
         bins, offsets = first_fit_decreasing(group["length"].to_numpy(), capacity)
         # Bins of group g get the ids below those of whole pieces, interleaved by group.
-        return group.assign(sequence_id=-1 - (bins * groups + group["group"].to_numpy()), offset=offsets).drop(columns=["group"])
+        return pd.DataFrame({"row": group["row"], "sequence_id": -1 - (bins * groups + group["group"].to_numpy()), "offset": offsets})
 
     columns = [c for c in pieces.columns if c != "row"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    packed = rest.groupBy("group").applyInPandas(fill, schema)
+    placed = rest.groupBy("group").applyInPandas(fill, "row long, sequence_id long, offset long").withColumnRenamed("row", "of")
+    packed = pieces.where(~full).join(placed, F.col("row") == F.col("of"))
     alone = pieces.where(full).withColumn("sequence_id", F.col("row")).withColumn("offset", F.lit(0).cast("long"))
-    return packed.unionByName(alone).select(*columns, "sequence_id", "offset")
+    both = [x.select(*columns, "sequence_id", "offset") for x in (packed, alone)]
+    return both[0].unionByName(both[1])

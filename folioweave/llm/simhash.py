@@ -4,6 +4,8 @@ A 64-bit fingerprint is split into six blocks. Two fingerprints that differ in t
 blocks at least, so they meet under one of the twenty choices of three blocks. Distinct fingerprints are dealt and
 sorted by (choice, blocks); a task walks each run of equal keys and links its members by a search that compares a
 member only with those not yet reached, which yields the links of a spanning forest and never all pairs of a run.
+Long runs are split by the same argument: of the six halves of the blocks outside the choice, a pair within three bits
+agrees in three, so it meets under one of twenty choices of halves, and such a part has 65,536 members at most.
 Links become components by rounds of large-star and small-star; copies share one fingerprint and meet no join.
 
 Defined cases: a null or empty text, or one of separators only, has fingerprint zero; repeated rows and ids are
@@ -30,6 +32,8 @@ DISTANCE = 3
 #: First bit and width of each block.
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 CHOICES = tuple(combinations(range(len(BLOCKS)), len(BLOCKS) - DISTANCE))
+#: Runs of more fingerprints are split.
+LONG_RUN = 4096
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -92,10 +96,29 @@ def block_keys(fps: DataFrame) -> DataFrame:
         for b in choice:
             key = F.shiftleft(key, BLOCKS[b][1]).bitwiseOR(block[b])
         keys.append(key)
-    return fps.select("fp", F.explode(F.array(*keys)).alias("key"))
+    return fps.select("fp", F.posexplode(F.array(*keys)).alias("choice", "key"))
 
 
-def links(fps: DataFrame) -> DataFrame:
+def half_masks(choice: tuple[int, ...]) -> list[int]:
+    """The bits of each choice of three halves of the blocks outside ``choice``, signed."""
+    halves = [h for b, (at, width) in enumerate(BLOCKS) if b not in choice for h in ((at, width // 2), (at + width // 2, width - width // 2))]
+    return [signed(sum(((1 << width) - 1) << at for at, width in some)) for some in combinations(halves, len(halves) - DISTANCE)]
+
+
+def split_runs(keys: DataFrame, long_run: int) -> DataFrame:
+    """``keys`` with new keys for the members of runs longer than ``long_run``: one by each choice of halves."""
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > long_run)
+    long = materialize(sizes.select(F.col("key").alias("of")), "long-runs")
+    if long.isEmpty():
+        return keys
+    masks = F.array(*(F.array(*(F.lit(m) for m in half_masks(c))) for c in CHOICES))
+    members = keys.join(long, F.col("key") == F.col("of"), "left_semi").select("fp", "key", F.explode(masks[F.col("choice")]).alias("mask"))
+    # Where two hashes are equal, parts are walked together; links are verified all the same.
+    parts = members.select("fp", F.xxhash64("key", "mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
+    return keys.join(long, F.col("key") == F.col("of"), "left_anti").select("fp", "key").unionByName(parts)
+
+
+def links(fps: DataFrame, long_run: int = LONG_RUN) -> DataFrame:
     """Rows (a, b) of distinct fingerprints that connect all pairs within the distance. ``fps`` has distinct ``fp``."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +149,7 @@ def links(fps: DataFrame) -> DataFrame:
         if held:
             yield close(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    keys = block_keys(fps).select("key", "fp").repartition("key").sortWithinPartitions("key")
+    keys = split_runs(block_keys(fps), long_run).select("key", "fp").repartition("key").sortWithinPartitions("key")
     return keys.mapInArrow(walk, "a long, b long").distinct()
 
 
