@@ -84,19 +84,36 @@ def rule_failures(f: Column, r: Rules) -> dict[str, Column]:
 STRICT = ("symbols", "lines", "repeats")
 
 
+def prior(hosts: int, docs: int, squares: float, failed: int, failed_squares: float, low: float, high: float) -> tuple[float, float]:
+    """Mean and strength of a rule's prior, by the sums over hosts of n, n * n, k and k * k / n (k of n documents fail)."""
+    mean = failed / docs if docs else 0.0
+    if hosts < 2 or docs == hosts:
+        return mean, high
+    between = (failed_squares - mean * failed) / (hosts - 1)
+    within = (failed - failed_squares) / (docs - hosts)
+    size = (docs - squares / docs) / (hosts - 1)
+    if between <= within:
+        return mean, high
+    # 1 / rho - 1, which is size * within / (between - within)
+    return mean, min(high, max(low, size * within / (between - within)))
+
+
 def host_table(failures: DataFrame, host: str, rules: Rules) -> DataFrame:
-    """One row per host: documents, failures and shrunk failure rate by strict rule, and ``suspect``.
+    """One row per host: documents, failures and shrunk failure rate by strict rule, and ``suspect``. Sums by host are written.
 
-    The prior of a rule is the beta distribution with the mean and variance that the hosts' own rates have
-    (method of moments). Only that one row of moments reaches the driver.
+    The prior of a rule is the beta distribution with the mean of all documents and the strength 1 / rho - 1, rho being the
+    correlation of documents of one host by the analysis of variance: what hosts differ beyond chance, whatever their
+    numbers of documents. Without two hosts, a host of two documents, or such a difference, it has the largest strength. Only
+    that one row of sums reaches the driver.
     """
     hosts = failures.groupBy(host).agg(F.count(F.lit(1)).alias("host_docs"), *(F.sum(F.col(x).cast("long")).alias(f"host_{x}") for x in STRICT))
-    moments = hosts.agg(*(y for x in STRICT for y in (F.avg(F.col(f"host_{x}") / F.col("host_docs")).alias(f"{x}_mean"), F.var_pop(F.col(f"host_{x}") / F.col("host_docs")).alias(f"{x}_var")))).first()
+    hosts = materialize(hosts, "hosts")
+    n = F.col("host_docs")
+    sums = hosts.agg(F.count(n).alias("hosts"), F.sum(n).alias("docs"), F.sum(n * n.cast("double")).alias("squares"), *(y for x in STRICT for y in (F.sum(f"host_{x}").alias(x), F.sum(F.col(f"host_{x}") * (F.col(f"host_{x}") / n)).alias(f"{x}_squares")))).first()
     low, high = rules.prior_strength
     for x in STRICT:
-        mean, var = moments[f"{x}_mean"] or 0.0, moments[f"{x}_var"] or 0.0
-        strength = high if var <= 0 else min(high, max(low, mean * (1 - mean) / var - 1))
-        hosts = hosts.withColumn(f"{x}_rate", (F.col(f"host_{x}") + F.lit(mean * strength)) / (F.col("host_docs") + F.lit(strength)))
+        mean, strength = prior(sums["hosts"], sums["docs"] or 0, sums["squares"] or 0.0, sums[x] or 0, sums[f"{x}_squares"] or 0.0, low, high)
+        hosts = hosts.withColumn(f"{x}_rate", (F.col(f"host_{x}") + F.lit(mean * strength)) / (n + F.lit(strength)))
     suspect = F.greatest(*(F.col(f"{x}_rate") for x in STRICT)) > rules.suspect_rate
     return hosts.withColumn("suspect", suspect)
 
@@ -106,17 +123,18 @@ def with_facts(docs: DataFrame, text: str = "text", facts: str = "facts") -> Dat
     return docs.withColumn(facts, F.pandas_udf(_facts, FACTS_DDL)(F.col(f"`{text}`")))
 
 
-def verdicts(counted: DataFrame, host: str = "source", facts: str = "facts", rules: Rules | None = None) -> DataFrame:
+def verdicts(counted: DataFrame, host: str = "source", facts: str = "facts", rules: Rules | None = None, written: bool = True) -> DataFrame:
     """``counted`` (rows with the counts) with ``kept``; ``base_failed`` and ``suspect_host`` join the counts.
 
-    The rows are written once, as the hosts' sums must be complete before the first verdict. Sums by host combine
-    before the shuffle; the suspect hosts come back by a broadcast while their count is within a checked bound,
+    The hosts' sums must be complete before the first verdict, so the rows are written once; without ``written`` they are
+    counted again instead, which is less where they carry their texts. Sums by host combine before the shuffle; the suspect hosts come back by a broadcast while their count is within a checked bound,
     else by an equi-join whose large side Spark can split.
     """
     rules = rules or Rules()
     kept, key = fresh(counted, "kept"), fresh(counted, "host_key")
     names = counted.columns
-    counted = materialize(counted.withColumn(key, F.col(f"`{host}`").cast("string")), "quality-facts")
+    counted = counted.withColumn(key, F.col(f"`{host}`").cast("string"))
+    counted = materialize(counted, "quality-facts") if written else counted
     fails = rule_failures(F.col(facts), rules)
     hosts = host_table(counted.select(key, *(fails[x].alias(x) for x in STRICT)), key, rules)
     suspects = hosts.where("suspect").select(F.col(key).alias("_suspect_key"), F.lit(True).alias("_suspect"))
@@ -137,4 +155,4 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", rules: Rule
     Where ``docs`` has these names, underscores are appended to the new ones.
     """
     facts = fresh(docs, "facts")
-    return verdicts(with_facts(docs, text, facts), host, facts, rules)
+    return verdicts(with_facts(docs, text, facts), host, facts, rules, written=False)

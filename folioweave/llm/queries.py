@@ -93,8 +93,9 @@ f AS (SELECT w.r, doc_id, source, len(words)::BIGINT AS n_words, coalesce(list_s
 x AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, (100 * n_symbols > 25 * n_words OR 100 * n_dup_lines > 70 * n_lines) AS lenient,
   (100 * n_symbols > 10 * n_words)::INT AS s1, (100 * n_dup_lines > 30 * n_lines)::INT AS s2, (100 * n_repeat_words > 20 * n_words)::INT AS s3 FROM f),
 h AS (SELECT source, count(*) AS n, sum(s1) AS k1, sum(s2) AS k2, sum(s3) AS k3 FROM x GROUP BY source),
-m AS (SELECT avg(k1 / n) AS m1, var_pop(k1 / n) AS v1, avg(k2 / n) AS m2, var_pop(k2 / n) AS v2, avg(k3 / n) AS m3, var_pop(k3 / n) AS v3 FROM h),
-p AS (SELECT m1, m2, m3, CASE WHEN v1 <= 0 THEN 1e6 ELSE least(1e6, greatest(2, m1 * (1 - m1) / v1 - 1)) END AS c1, CASE WHEN v2 <= 0 THEN 1e6 ELSE least(1e6, greatest(2, m2 * (1 - m2) / v2 - 1)) END AS c2, CASE WHEN v3 <= 0 THEN 1e6 ELSE least(1e6, greatest(2, m3 * (1 - m3) / v3 - 1)) END AS c3 FROM m),
+m AS (SELECT count(*) AS hs, sum(n)::DOUBLE AS ds, sum(n * n::DOUBLE) AS sq, sum(k1)::DOUBLE AS t1, sum(k1 * (k1 / n)) AS q1, sum(k2)::DOUBLE AS t2, sum(k2 * (k2 / n)) AS q2, sum(k3)::DOUBLE AS t3, sum(k3 * (k3 / n)) AS q3 FROM h),
+b AS (SELECT hs, ds, (ds - sq / ds) / (hs - 1) AS size, t1 / ds AS m1, (q1 - t1 / ds * t1) / (hs - 1) AS b1, (t1 - q1) / (ds - hs) AS w1, t2 / ds AS m2, (q2 - t2 / ds * t2) / (hs - 1) AS b2, (t2 - q2) / (ds - hs) AS w2, t3 / ds AS m3, (q3 - t3 / ds * t3) / (hs - 1) AS b3, (t3 - q3) / (ds - hs) AS w3 FROM m),
+p AS (SELECT m1, m2, m3, CASE WHEN hs < 2 OR ds = hs OR b1 <= w1 THEN 1e6 ELSE least(1e6, greatest(2, size * w1 / (b1 - w1))) END AS c1, CASE WHEN hs < 2 OR ds = hs OR b2 <= w2 THEN 1e6 ELSE least(1e6, greatest(2, size * w2 / (b2 - w2))) END AS c2, CASE WHEN hs < 2 OR ds = hs OR b3 <= w3 THEN 1e6 ELSE least(1e6, greatest(2, size * w3 / (b3 - w3))) END AS c3 FROM b),
 v AS (SELECT source, greatest((k1 + m1 * c1) / (n + c1), (k2 + m2 * c2) / (n + c2), (k3 + m3 * c3) / (n + c3)) > 0.5 AS suspect FROM h, p)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND NOT lenient AND NOT (suspect AND s1 + s2 + s3 > 0)) AS kept
 FROM x JOIN v ON x.source IS NOT DISTINCT FROM v.source

@@ -29,17 +29,36 @@ def row_bytes(text: str) -> Column:
     return (F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)) + OVERHEAD).cast("long")
 
 
+def held_bytes(rows: DataFrame) -> Column:
+    """About what a row takes in memory: OVERHEAD, the bytes of its strings and binaries, of nested values as text, and 8 for each other."""
+    sizes = [F.lit(OVERHEAD)]
+    for field in rows.schema:
+        c, kind = F.col(f"`{field.name}`"), field.dataType.typeName()
+        if kind in ("string", "binary"):
+            sizes.append(F.coalesce(F.octet_length(c), F.lit(0)))
+        elif kind in ("array", "map", "struct"):
+            sizes.append(F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)))
+        else:
+            sizes.append(F.lit(8))
+    total = sizes[0]
+    for size in sizes[1:]:
+        total = total + size
+    return total.cast("long")
+
+
 def shuffled(rows: DataFrame, text: str = "text", bucket_bytes: int = BUCKET_BYTES, seed: int = 17) -> DataFrame:
     """All columns of ``rows`` with two more last ones, ``bucket`` and ``at`` (place in the shuffled bucket); written.
 
-    The number of buckets follows the bytes of the input, so a bucket's list stays within memory.
+    The number of buckets follows the bytes of all columns, so a bucket's list stays within memory; each bucket is a
+    partition of its own.
     """
     bucket, at = fresh(rows, "bucket"), fresh(rows, "at")
-    total = rows.agg(F.sum(row_bytes(text))).first()[0] or 0
+    total = rows.agg(F.sum(held_bytes(rows))).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
+    tasks = min(buckets, MOST_TASKS)
     held = F.struct(F.monotonically_increasing_id().alias("place"), F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"))
     placed = rows.select(held.alias("held"))
-    scattered = placed.withColumn(bucket, F.pmod(F.xxhash64(F.col("held.place"), F.lit(seed)), F.lit(buckets))).repartition(min(buckets, MOST_TASKS), bucket)
+    scattered = placed.withColumn(bucket, F.pmod(F.xxhash64(F.col("held.place"), F.lit(seed)), F.lit(buckets))).repartitionById(tasks, (F.col(bucket) % tasks).cast("int"))
     # The list's order depends on how blocks arrive; sorted by place first, the shuffle starts from one order.
     lists = scattered.groupBy(bucket).agg(F.array_sort(F.collect_list("held"), lambda a, b: F.signum(a["place"] - b["place"]).cast("int")).alias("list"))
     mixed = lists.select(bucket, F.posexplode(F.shuffle("list", seed)).alias(at, "held"))
@@ -49,7 +68,7 @@ def shuffled(rows: DataFrame, text: str = "text", bucket_bytes: int = BUCKET_BYT
 def shard(rows: DataFrame, shards: int = SHARDS, text: str = "text", bucket_bytes: int = BUCKET_BYTES, seed: int = 17) -> DataFrame:
     """``rows`` with last columns ``shard`` and ``slot`` (gapless from 0 in each shard).
 
-    Only one row per bucket, its count, goes through the window that adds up offsets.
+    Only one row per bucket, its count, goes through the window that adds up offsets (6 million rows at 100 TB).
     """
     mixed = shuffled(rows, text, bucket_bytes, seed)
     bucket, at = mixed.columns[-2:]
