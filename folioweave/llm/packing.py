@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,6 +28,8 @@ from folioweave.session import materialize
 CAPACITY = 4096
 END_ID = 2
 GROUP_PIECES = 20_000
+#: Texts that are encoded together, in bytes, beside one Arrow batch.
+RUN_BYTES = 12 << 20
 #: The pattern of the word tokenizer's splitter, for texts without ``UNSURE`` characters.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+"
 #: Texts with these go to the tokenizer whole; below U+0300, composition changes nothing and Arrow's lower case,
@@ -37,13 +40,13 @@ PIECE_DDL = "key long, start long, length long, ids_crc32 long, doc_tokens long,
 
 class WordEncoder:
     """Encodes texts as the tokenizer does, remembering the ids of short stretches between white space; by the bounds on
-    their number and length the memory stays under about 150 MB.
+    their number and length the memory stays under about 300 MB.
 
     The splitter drops white space and no word holds any, so a stretch's ids do not depend on its neighbours.
     Words that are new go to the tokenizer in one call, parted by a special token.
     """
 
-    CACHE, CACHED_CHARS = 400_000, 48
+    CACHE, CACHED_CHARS = 1_000_000, 48
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
@@ -64,7 +67,8 @@ class WordEncoder:
         if len(self.cache) > self.CACHE:
             self.cache.clear()
         parts = [self.words(s) for s in stretches]
-        new = list(dict.fromkeys(w for p in parts for w in p if w not in self.cache))
+        cache = self.cache
+        new = [w for w in dict.fromkeys(chain.from_iterable(parts)) if w not in cache]
         # The last id of a word is one that ends words, so the ids of the words can be told apart.
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
         cuts, raw, at, found = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist(), ids.tobytes(), 0, {}
@@ -72,8 +76,8 @@ class WordEncoder:
             found[w] = raw[at:cut]
             at = cut
         for s, p in zip(stretches, parts, strict=True):
-            found[s] = b"".join(found[w] if w in found else self.cache[w] for w in p)
-        self.cache.update((w, x) for w, x in found.items() if len(w) <= self.CACHED_CHARS)
+            found[s] = b"".join(found[w] if w in found else cache[w] for w in p)
+        cache.update((w, x) for w, x in found.items() if len(w) <= self.CACHED_CHARS)
         return found
 
     def encode_batch(self, texts: pa.Array) -> list[bytes]:
@@ -83,10 +87,10 @@ class WordEncoder:
         split = pc.utf8_split_whitespace(pc.utf8_lower(sure))
         coded = split.flatten().dictionary_encode()
         known = coded.dictionary.to_pylist()
-        here = {w: self.cache[w] for w in known if w in self.cache}
-        if new := [w for w in known if w not in here]:
-            here |= self.learn(new)
-        ids_of = list(map(here.__getitem__, known))
+        ids_of = list(map(self.cache.get, known))
+        if new := [w for w, x in zip(known, ids_of, strict=True) if x is None]:
+            found = self.learn(new)
+            ids_of = [found[w] if x is None else x for w, x in zip(known, ids_of, strict=True)]
         size = np.array([len(x) for x in ids_of], np.int64) // 4
         flat, start = np.frombuffer(b"".join(ids_of), "<u4"), np.cumsum(size) - size
         which = coded.indices.to_numpy(zero_copy_only=False)
@@ -109,13 +113,25 @@ def encoder_of(vocabulary: str) -> WordEncoder:
     return ENCODERS[vocabulary]
 
 
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches taken together until they have RUN_BYTES, as a word that recurs in a batch is looked up once."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= RUN_BYTES:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def cut(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, text: str = "text", key: str = "doc_id", with_ids: bool = True) -> DataFrame:
     """The pieces of all texts: full stretches of ``capacity`` ids, then the rest. ``ids`` is null if not asked for."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = encoder_of(vocabulary), np.array([END_ID], "<u4").tobytes()
         step = 4 * capacity
-        for batch in batches:
+        for batch in runs(batches):
             rows = []
             for k, ids in zip(batch.column(0).to_pylist(), encoder.encode_batch(pc.fill_null(batch.column(1), "")), strict=True):
                 ids += end
