@@ -11,7 +11,7 @@ a single frequent text are dealt like other rows, as the hash is of the place; a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioweave.session import fresh, materialize
@@ -46,6 +46,19 @@ def held_bytes(rows: DataFrame) -> Column:
     return total.cast("long")
 
 
+def salts(spark: SparkSession, parts: int) -> DataFrame:
+    """For each of ``parts`` partitions (MOST_TASKS at most, 12 bytes each) the least number that Spark's hash sends there.
+
+    Rows with these numbers as keys fill each partition with one bucket, and the grouping needs no further shuffle.
+    """
+    tried = 8
+    while True:
+        found = spark.range(parts * tried).select(F.pmod(F.hash(F.col("id").cast("int")), F.lit(parts)).alias("_part"), F.col("id").cast("int").alias("_salt")).groupBy("_part").agg(F.min("_salt").alias("_salt"))
+        if found.count() == parts:
+            return found
+        tried *= 2
+
+
 def shuffled(rows: DataFrame, text: str = "text", bucket_bytes: int = BUCKET_BYTES, seed: int = 17) -> DataFrame:
     """All columns of ``rows`` with two more last ones, ``bucket`` and ``at`` (place in the shuffled bucket); written.
 
@@ -57,10 +70,13 @@ def shuffled(rows: DataFrame, text: str = "text", bucket_bytes: int = BUCKET_BYT
     buckets = max(1, -(-total // bucket_bytes))
     tasks = min(buckets, MOST_TASKS)
     held = F.struct(F.monotonically_increasing_id().alias("place"), F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"))
+    task = fresh(rows, "task")
     placed = rows.select(held.alias("held"))
-    scattered = placed.withColumn(bucket, F.pmod(F.xxhash64(F.col("held.place"), F.lit(seed)), F.lit(buckets))).repartitionById(tasks, (F.col(bucket) % tasks).cast("int"))
+    scattered = placed.withColumn(bucket, F.pmod(F.xxhash64(F.col("held.place"), F.lit(seed)), F.lit(buckets)))
+    salted = scattered.join(F.broadcast(salts(rows.sparkSession, tasks)), (F.col(bucket) % tasks) == F.col("_part")).withColumn(task, F.col("_salt"))
+    apart = salted.select(task, bucket, "held").repartition(tasks, task)
     # The list's order depends on how blocks arrive; sorted by place first, the shuffle starts from one order.
-    lists = scattered.groupBy(bucket).agg(F.array_sort(F.collect_list("held"), lambda a, b: F.signum(a["place"] - b["place"]).cast("int")).alias("list"))
+    lists = apart.groupBy(task, bucket).agg(F.array_sort(F.collect_list("held"), lambda a, b: F.signum(a["place"] - b["place"]).cast("int")).alias("list"))
     mixed = lists.select(bucket, F.posexplode(F.shuffle("list", seed)).alias(at, "held"))
     return materialize(mixed.select("held.row.*", F.col(bucket), F.col(at).cast("long").alias(at)), "shuffled")
 
