@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioweave.operators.text import node_id
+from folioweave.session import materialize
 
 # Review reasons by priority, thresholds, page and batch sizes.
 REASONS = ("first_page", "last_page", "heading", "unknown", "degraded", "low_ocr")
@@ -27,15 +28,44 @@ def sibling_order(n: DataFrame) -> DataFrame:
 
 
 def preorder(tree: DataFrame) -> DataFrame:
-    """Depth and preorder place. The heading ladder has six steps, so six self-joins on the parent reach all."""
-    path = tree.select("doc_id", "group_no", "parent", F.array("group_no").alias("path"), F.col("parent").alias("above"))
-    up = tree.select("doc_id", F.col("group_no").alias("g"), F.col("parent").alias("p"))
-    for k in range(7):
-        u = up.select(F.col("doc_id").alias(f"d{k}"), F.col("g").alias(f"g{k}"), F.col("p").alias(f"p{k}"))
-        path = path.join(u, (F.col("doc_id") == F.col(f"d{k}")) & (F.col("above") == F.col(f"g{k}")), "left")
-        path = path.select("doc_id", "group_no", "parent", F.when(F.col("above").isNotNull(), F.concat(F.array("above"), "path")).otherwise(F.col("path")).alias("path"), F.col(f"p{k}").alias("above"))
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("path")) - 1
-    return path.select("doc_id", "group_no", (F.size("path") - 1).cast("long").alias("depth"), place.cast("long").alias("node_order"))
+    """Depth and preorder place of the nodes of a heading tree, by one window.
+
+    A parent there is always the latest open heading, so preorder is the order of the groups; a heading of level k is open
+    where none of a lower or equal level came after it, so a node's depth is the number of levels that are open for it.
+    """
+    w = Window.partitionBy("doc_id").orderBy("group_no").rowsBetween(Window.unboundedPreceding, -1)
+    heads, level = F.col("kind").isin("title", "heading"), F.coalesce("level", F.lit(1))
+    last = [F.max(F.when(heads & (level == k), F.col("group_no"))).over(w) for k in range(1, 7)]
+    seen = tree.select("*", *(x.alias(f"last{k}") for k, x in enumerate(last, 1)))
+    own, depth = F.when(heads, level).otherwise(7), F.lit(0)
+    for k in range(1, 7):
+        lower = F.greatest(F.lit(-1), *(F.coalesce(F.col(f"last{j}"), F.lit(-1)) for j in range(1, k)), F.lit(-1))
+        depth = depth + ((own > k) & F.col(f"last{k}").isNotNull() & (F.col(f"last{k}") > lower)).cast("long")
+    # An item of an open list is one deeper than the list, which is no heading.
+    depth = depth + ((F.col("kind") == "list_item") & F.col("parent").isNotNull() & (F.col("parent") > F.greatest(F.lit(-1), *(F.coalesce(F.col(f"last{k}"), F.lit(-1)) for k in range(1, 7))))).cast("long")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("group_no")) - 1
+    return seen.select("doc_id", "group_no", depth.alias("depth"), place.cast("long").alias("node_order"))
+
+
+def depths(n: DataFrame, most_rounds: int = 64) -> DataFrame:
+    """Rows (doc_id, node, depth) for parents of any kind and depth; null where a node's way up does not end (a cycle).
+
+    Pointers are doubled: each round joins a node's farthest known ancestor with that one's, so a depth of d takes log2 d
+    rounds, each written. A parent that is missing ends the way. A chain of n nodes ends after log2 n rounds; what still
+    moves then is on or under a cycle.
+    """
+    ids = n.select("doc_id", "node").distinct()
+    found = ids.select("doc_id", F.col("node").alias("parent_node"), F.lit(True).alias("is_there"))
+    up = n.select("doc_id", "node", "parent_node").join(found, ["doc_id", "parent_node"], "left").select("doc_id", "node", F.when(F.col("is_there"), F.col("parent_node")).alias("far"))
+    # Of a repeated id, the smallest parent counts.
+    now = materialize(up.groupBy("doc_id", "node").agg(F.min("far").alias("far")).withColumn("depth", F.col("far").isNotNull().cast("long")), "depths")
+    longest = now.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    for _ in range(min(most_rounds, max(1, int(longest).bit_length()))):
+        if now.where("far IS NOT NULL").isEmpty():
+            break
+        far = now.select("doc_id", F.col("node").alias("far"), F.col("far").alias("farther"), F.col("depth").alias("more"))
+        now = materialize(now.join(far, ["doc_id", "far"], "left").select("doc_id", "node", F.col("farther").alias("far"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "depths")
+    return now.select("doc_id", "node", F.when(F.col("far").isNull(), F.col("depth")).alias("depth"))
 
 
 def validate(n: DataFrame) -> DataFrame:

@@ -18,17 +18,26 @@ TOC_LINE = r"^[ \t]*.+?(\.{2,}|…{2,}|·{2,}|[ \t]{2,})[ \t]*[0-9０-９IVXLCDM
 WINDOW, OVERLAP = 80, 12
 UNIT_LINES, UNIT_CHARS = 200, 12_000
 HEADER_CHARS, HEADER_TIMES, HEADER_GAPS = 160, 3, 2
+HEADER_KINDS = ("title", "heading", "paragraph", "header", "unknown")
+#: White space as Python strips it.
+SPACE = r"[\t-\r\x1c- \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
 def line_index(texts: DataFrame, body: str = "body") -> DataFrame:
     """Rows (doc_id, line_no, text, start, stop, sep_end): all lines with their code-point offsets.
 
-    A final newline gives a last empty line; an empty text one line; a null text none.
+    A final newline gives a last empty line; an empty text one line; a null text none; texts that share a doc_id are
+    indexed each by itself. Offsets are added up within the row, in blocks of about the root of the number of lines, so
+    nothing is shuffled and a text of n lines takes n ** 1.5 additions.
     """
-    exploded = texts.select("doc_id", F.posexplode(F.arrays_zip(F.split(body, NEWLINE, -1).alias("t"), F.regexp_extract_all(F.col(body), F.lit(NEWLINE), F.lit(0)).alias("s"))).alias("i", "x"))
-    size = F.length("x.t") + F.coalesce(F.length("x.s"), F.lit(0))
-    end = F.sum(size).over(Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
-    return exploded.select("doc_id", (F.col("i") + 1).cast("long").alias("line_no"), F.col("x.t").alias("text"), end.alias("sep_end"), size.alias("size")).select("doc_id", "line_no", "text", (F.col("sep_end") - F.col("size")).alias("start"), (F.col("sep_end") - F.col("size") + F.length("text")).cast("long").alias("stop"), "sep_end")
+    cut = texts.select("doc_id", F.split(body, NEWLINE, -1).alias("t"), F.regexp_extract_all(F.col(body), F.lit(NEWLINE), F.lit(0)).alias("s"))
+    sized = cut.withColumn("size", F.transform("t", lambda x, i: F.length(x) + F.coalesce(F.length(F.get("s", i)), F.lit(0)))).withColumn("step", F.ceil(F.sqrt(F.size("t"))).cast("int"))
+    blocks = F.expr("transform(sequence(0, (size(t) - 1) div step), k -> aggregate(slice(size, k * step + 1, step), 0L, (a, x) -> a + x))")
+    bases = F.expr("aggregate(blocks, named_struct('at', 0L, 'out', cast(array() as array<bigint>)), (a, x) -> named_struct('at', a.at + x, 'out', concat(a.out, array(a.at))), a -> a.out)")
+    based = sized.withColumn("blocks", blocks).withColumn("bases", bases)
+    starts = F.expr("transform(t, (x, i) -> bases[i div step] + aggregate(slice(size, (i div step) * step + 1, i % step), 0L, (a, y) -> a + y))")
+    lines = based.select("doc_id", F.posexplode(F.arrays_zip("t", starts.alias("start"), "size")).alias("i", "x"))
+    return lines.select("doc_id", (F.col("i") + 1).cast("long").alias("line_no"), F.col("x.t").alias("text"), F.col("x.start").alias("start"), (F.col("x.start") + F.length("x.t")).cast("long").alias("stop"), (F.col("x.start") + F.col("x.size")).cast("long").alias("sep_end"))
 
 
 def source_units(lines: DataFrame, most_lines: int = UNIT_LINES, most_chars: int = UNIT_CHARS) -> DataFrame:
@@ -67,6 +76,10 @@ def line_windows(lines: DataFrame, size: int = WINDOW, overlap: int = OVERLAP) -
     return counted.select("doc_id", "line_no", "text", F.explode(F.sequence(low, F.least(F.floor(i / step), F.col("last")))).alias("w"))
 
 
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, f"^{SPACE}|{SPACE}$", "")
+
+
 def kind_of(text: Column) -> Column:
     return F.when(text.rlike(HEADING) | text.rlike(CHAPTER), "heading").when(text.rlike(CAPTION), "caption").when(text.rlike(LIST_ITEM), "list_item").otherwise("paragraph")
 
@@ -107,14 +120,28 @@ def window_coverage(lines: DataFrame, votes: DataFrame) -> DataFrame:
     return joined.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count("twice").alias("n_covered"), F.sum(F.col("twice").isNull().cast("long")).alias("n_missing"), F.coalesce(F.sum("twice"), F.lit(0)).alias("n_twice"))
 
 
-def running_headers(assigned: DataFrame) -> DataFrame:
-    """Lines demoted to headers: equal stripped short lines, three times or more, two gaps or more of two lines."""
-    key = F.trim("text")
+def repeated_labels(assigned: DataFrame) -> DataFrame:
+    """Lines that recur as running labels: equal stripped short lines of an eligible kind, three times or more, two gaps or
+    more of two lines; with how often, and the one that stays (the first title, else the first)."""
     same = Window.partitionBy("doc_id", "key")
-    lines = assigned.withColumn("key", key).where((F.length("key") <= HEADER_CHARS) & F.col("kind").isin("heading", "paragraph"))
+    lines = assigned.withColumn("key", stripped(F.col("text"))).where((F.col("key") != "") & (F.length("key") <= HEADER_CHARS) & F.col("kind").isin(*HEADER_KINDS))
     gaps = lines.withColumn("gap", (F.col("line_no") - F.lag("line_no").over(same.orderBy("line_no")) >= 2).cast("int"))
-    seen = gaps.select("doc_id", "line_no", "key", F.count(F.lit(1)).over(same).alias("times"), F.sum("gap").over(same).alias("gaps"), F.min("line_no").over(same).alias("keeper"))
-    return seen.where((F.col("times") >= HEADER_TIMES) & (F.col("gaps") >= HEADER_GAPS) & (F.col("line_no") != F.col("keeper"))).select("doc_id", "line_no", "key", "times", "keeper")
+    keeper = F.coalesce(F.min(F.when(F.col("kind") == "title", F.col("line_no"))).over(same), F.min("line_no").over(same))
+    seen = gaps.select("doc_id", "line_no", "key", F.count(F.lit(1)).over(same).alias("times"), F.sum("gap").over(same).alias("gaps"), keeper.alias("keeper"))
+    return seen.where((F.col("times") >= HEADER_TIMES) & (F.col("gaps") >= HEADER_GAPS))
+
+
+def running_headers(assigned: DataFrame) -> DataFrame:
+    """The lines that are demoted to headers."""
+    return repeated_labels(assigned).where(F.col("line_no") != F.col("keeper")).select("doc_id", "line_no", "key", "times", "keeper")
+
+
+def demoted(assigned: DataFrame) -> DataFrame:
+    """``assigned`` with running headers as headers that start a node and have no level."""
+    headers = running_headers(assigned).select("doc_id", "line_no", F.lit(True).alias("is_header"))
+    joined = assigned.join(headers, ["doc_id", "line_no"], "left")
+    header = F.coalesce("is_header", F.lit(False))
+    return joined.select("doc_id", "line_no", "text", F.when(header, "header").otherwise(F.col("kind")).alias("kind"), (F.col("starts_new") | header).alias("starts_new"), F.when(~header, F.col("level")).alias("level"))
 
 
 def line_groups(assigned: DataFrame) -> DataFrame:
@@ -127,15 +154,32 @@ def line_groups(assigned: DataFrame) -> DataFrame:
 
 
 def heading_tree(groups: DataFrame) -> DataFrame:
-    """Parent of each group: headings hang on the latest earlier heading of a lower level, others on the latest heading."""
+    """Parent of each group. Titles and headings (level 1 without one) hang on the latest earlier one of a lower level; list
+    items on the open list, if one is open; all others on the latest heading. A list is open until another kind follows."""
     w = Window.partitionBy("doc_id").orderBy("group_no").rowsBetween(Window.unboundedPreceding, -1)
-    latest = {k: F.max(F.when((F.col("kind") == "heading") & (F.col("level") <= k), F.col("group_no"))).over(w) for k in range(1, 7)}
-    parent = F.when(F.col("kind") != "heading", latest[6])
+    heads, level = F.col("kind").isin("title", "heading"), F.coalesce("level", F.lit(1))
+    latest = {k: F.max(F.when(heads & (level <= k), F.col("group_no"))).over(w) for k in range(1, 7)}
+    listed = F.max(F.when(F.col("kind") == "list", F.col("group_no"))).over(w)
+    closed = F.max(F.when(~F.col("kind").isin("list", "list_item"), F.col("group_no"))).over(w)
+    open_list = F.when((F.col("kind") == "list_item") & (listed > F.coalesce(closed, F.lit(-1))), listed)
+    parent = F.when(~heads, F.coalesce(open_list, latest[6]))
     for k in range(2, 7):
-        parent = parent.when(F.col("level") == k, latest[k - 1])
+        parent = parent.when(level == k, latest[k - 1])
     return groups.select("doc_id", "group_no", "kind", "level", parent.alias("parent"))
 
 
+def recovered_nodes(groups: DataFrame, texts: DataFrame, lines: DataFrame, body: str = "body") -> DataFrame:
+    """Groups as nodes: place, kind, level, parent's place, span and text, cut from the body."""
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("group_no")) - 1
+    tree = heading_tree(groups.withColumn("group_no", place.cast("long"))).withColumnRenamed("group_no", "ord")
+    spans = groups.select("doc_id", place.cast("long").alias("ord"), "first_line", "last_line")
+    first = lines.select("doc_id", F.col("line_no").alias("first_line"), "start")
+    last = lines.select("doc_id", F.col("line_no").alias("last_line"), "stop")
+    placed = tree.join(spans, ["doc_id", "ord"]).join(first, ["doc_id", "first_line"]).join(last, ["doc_id", "last_line"]).join(texts.select("doc_id", body), "doc_id")
+    level = F.when(F.col("kind").isin("title", "heading"), F.coalesce("level", F.lit(1)))
+    return placed.select("doc_id", "ord", "kind", level.alias("level"), "parent", "start", "stop", F.expr(f"substring({body}, cast(start + 1 AS int), cast(stop - start AS int))").alias("text"))
+
+
 def inline_whitespace(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.translate(text, "　", " "), r"[ \t\n\r\f\u000B]+", " "), "^ | $", "")
 
