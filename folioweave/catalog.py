@@ -767,3 +767,7 @@ def object_put(spark, sf_dir):
     held = p.where("page_id % 2 = 0 AND page_id % 7 <> 0").selectExpr("ref", "cast(CASE WHEN page_id % 6 = 0 THEN concat(html, 'x') ELSE html END AS binary) AS content")
     came = p.selectExpr("ref", "cast(html AS binary) AS content", "CASE WHEN page_id % 5 = 1 THEN octet_length(html) + 1 END AS expected_size", "sha2(html, 256) AS expected_sha")
     return P.put_outcome(held, came)
+
+
+# The other modules of queries register theirs here.
+from folioweave import catalog_graph, catalog_recovery  # noqa: E402, F401
