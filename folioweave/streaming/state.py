@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from folioweave.session import materialize
+
 # The states that event types stand for, allowed transitions, grant limits.
 STATUS = {"signup": "created", "view": "running", "purchase": "succeeded", "error": "failed", "click": "cancelled"}
 ALLOWED = ("created>running", "created>cancelled", "running>succeeded", "running>failed", "running>cancelled")
@@ -76,6 +78,43 @@ def selection_history(events: DataFrame, slices: int = 5, slice_rows: int = 50_0
     return days.agg(F.sum("d.n").alias("n_events"), F.sum("d.accepted").alias("accepted"), F.max("d.version").alias("version"))
 
 
+def selection_events(events: DataFrame, slices: int = 5, slice_rows: int = 50_000) -> DataFrame:
+    """The compare-and-set replay over a user's whole log, event by event: accepted or in conflict, and the version after it.
+
+    Ranges of (user, time) of about ``slice_rows`` events are folded from every start version modulo ``slices`` to their gains; the gains are
+    carried through a user's ranges; then each range is folded once more from its own start. No task holds more than one
+    range, however long a user's log is. The ranges are written, so both folds see the same ones.
+    """
+    asked = F.pmod(F.get_json_object("props", "$.k").cast("long"), F.lit(slices))
+    parts = max(1, -(-events.count() // slice_rows))
+    dealt = events.select("user_id", "ts", "event_id", asked.alias("expected")).repartitionByRange(parts, "user_id", "ts", "event_id").withColumn("slice", F.spark_partition_id())
+    logs = materialize(dealt.groupBy("user_id", "slice").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "expected"))).alias("log")), "selection-logs")
+
+    def gain(gains: Column, x: Column) -> Column:
+        return F.transform(gains, lambda g, start: g + F.coalesce((start + g) % slices == x["expected"], F.lit(False)).cast("long"))
+
+    gains = logs.select("user_id", F.struct("slice", F.aggregate("log", F.array(*[F.lit(0).cast("long")] * slices), gain).alias("gains")).alias("m"))
+    zero = F.struct(F.lit(0).cast("long").alias("version"), F.expr("cast(array() AS array<struct<slice:int,start:bigint>>)").alias("done"))
+
+    def carry(a: Column, m: Column) -> Column:
+        after = a["version"] + F.get(m["gains"], (a["version"] % slices).cast("int"))
+        return F.struct(after.alias("version"), F.concat(a["done"], F.array(F.struct(m["slice"].alias("slice"), a["version"].alias("start")))).alias("done"))
+
+    starts = gains.groupBy("user_id").agg(F.array_sort(F.collect_list("m")).alias("ms")).select("user_id", F.explode(F.aggregate("ms", zero, carry)["done"]).alias("d")).select("user_id", "d.slice", "d.start")
+
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for user, version, log in zip(batch["user_id"], batch["start"], batch["log"], strict=True):
+                for x in log:
+                    hit = x["expected"] is not None and x["expected"] == version % slices
+                    version += hit
+                    rows.append((x["event_id"], user, bool(hit), int(version)))
+            yield pd.DataFrame(rows, columns=["event_id", "user_id", "accepted", "version"])
+
+    return logs.join(starts, ["user_id", "slice"]).select("user_id", "start", "log").mapInPandas(replay, "event_id long, user_id long, accepted boolean, version long")
+
+
 def grant_replay(events: DataFrame) -> DataFrame:
     """Retrievals (views) with the last grant (click) of the user before them and whether it is still alive."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
