@@ -770,4 +770,4 @@ def object_put(spark, sf_dir):
 
 
 # The other modules of queries register theirs here.
-from folioweave import catalog_graph, catalog_pages, catalog_recovery  # noqa: E402, F401
+from folioweave import catalog_graph, catalog_pages, catalog_reader, catalog_recovery  # noqa: E402, F401

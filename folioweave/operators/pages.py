@@ -129,7 +129,7 @@ def text_health(texts: DataFrame) -> DataFrame:
         F.when(F.col("chars") < LEAST_CHARS, "too_sparse").when(F.col("lines") < LEAST_LINES, "line_count_too_low").when(F.col("coverage") > MOST_COVERAGE, "image_dominates").when(F.col("printable") < PRINTABLE, "printability_failed")
         .when(F.col("control") > CONTROL, "control_characters_failed").when(F.col("replaced") > 0, "replacement_characters_failed").when(F.col("repeated") > REPEATED, "duplicate_lines_failed").otherwise("accepted")
     )
-    return m.withColumn("reason", reason)
+    return m.select("doc_id", "coverage", *(F.col(c).cast("long").alias(c) for c in ("chars", "lines", "replaced")), "printable", "control", "repeated", reason.alias("reason"))
 
 
 def caption_or_note(text: Column, kind: Column) -> Column:
