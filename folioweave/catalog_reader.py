@@ -31,11 +31,11 @@ def node_states(spark, sf_dir):
     return kinds_of(spark, sf_dir).select("doc_id", "line_no", D.mapped(F.expr(STATED), D.NODE_STATES).alias("state"), D.warning_code(F.expr(CODED)).alias("warning"))
 
 
-@query(f"""WITH {KINDS}, p AS (SELECT DISTINCT doc_id, page, 'p' || page AS location FROM kinds WHERE page % 4 <> 2 AND page >= 1), r AS (SELECT *, row_number() OVER w AS place, lead(page, 2) OVER w AS n2 FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY page)),
-a AS (SELECT doc_id, page AS next_page, location AS next_location FROM r WHERE place = 4) SELECT doc_id, page, location, next_page IS NOT NULL AS has_more, next_page, next_location FROM r LEFT JOIN a USING (doc_id) WHERE place <= 3""")
+@query(f"""WITH {KINDS}, p AS (SELECT DISTINCT doc_id, page, 'p' || page AS location FROM kinds WHERE page % 4 <> 2), r AS (SELECT *, row_number() OVER w AS place FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY page)),
+a AS (SELECT doc_id, page AS next_page, location AS next_location FROM r WHERE place = 2) SELECT doc_id, page, location, next_page IS NOT NULL AS has_more, next_page, next_location FROM r LEFT JOIN a USING (doc_id) WHERE place <= 1""")
 def page_chunk(spark, sf_dir):
     pages = kinds_of(spark, sf_dir).where("page % 4 <> 2").select("doc_id", "page", F.concat(F.lit("p"), "page").alias("location")).distinct()
-    return D.page_chunk(pages, 1, 3)
+    return D.page_chunk(pages, 0, 1)
 
 
 @query(f"""WITH {KINDS}, b AS (SELECT doc_id, page, CASE kind WHEN 'figure' THEN 'image' WHEN 'table' THEN 'table' WHEN 'paragraph' THEN 'text' ELSE kind END AS type, text AS content FROM kinds)
@@ -45,17 +45,17 @@ def book_status(spark, sf_dir):
     return D.book_status(kinds_of(spark, sf_dir).select("doc_id", "page", kind.alias("type"), F.col("text").alias("content")))
 
 
-# Nodes with the units (of ten lines) and observations (lines) that they lie on.
+# Nodes with the units (of two lines) and observations (lines) that they lie on.
 PLACED = GROUPS + """,
-seen AS (SELECT doc_id, 'o' || line_no AS observation, (line_no - 1) // 10 AS unit, text, line_no FROM lines WHERE text <> ''),
+seen AS (SELECT doc_id, 'o' || line_no AS observation, (line_no - 1) // 2 AS unit, text, line_no FROM lines WHERE text <> ''),
 held AS (SELECT n.doc_id, n.group_no, s.observation, s.unit, s.text, row_number() OVER (PARTITION BY n.doc_id, n.group_no ORDER BY s.line_no) - 1 AS place FROM numbered n JOIN seen s USING (doc_id, line_no))"""
 
 
 def placed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     lines = lines_of(spark, sf_dir).where("text <> ''")
-    seen = lines.select("doc_id", F.concat(F.lit("o"), "line_no").alias("observation"), F.expr("(line_no - 1) div 10").alias("unit"), "text", F.array(F.concat(F.lit("e"), "line_no")).alias("evidences"))
+    seen = lines.select("doc_id", F.concat(F.lit("o"), "line_no").alias("observation"), F.expr("(line_no - 1) div 2").alias("unit"), "text", F.array(F.concat(F.lit("e"), "line_no")).alias("evidences"))
     span = F.sequence("first_line", "last_line")
-    nodes = groups_of(spark, sf_dir).select("doc_id", F.col("group_no").alias("node"), F.array_distinct(F.transform(span, lambda x: F.floor((x - 1) / 10))).alias("units"), F.transform(span, lambda x: F.concat(F.lit("o"), x)).alias("observations"), F.array(F.concat(F.lit("e"), "first_line")).alias("evidences"))
+    nodes = groups_of(spark, sf_dir).select("doc_id", F.col("group_no").alias("node"), F.array_distinct(F.transform(span, lambda x: F.floor((x - 1) / 2))).alias("units"), F.transform(span, lambda x: F.concat(F.lit("o"), x)).alias("observations"), F.array(F.concat(F.lit("e"), "first_line")).alias("evidences"))
     return nodes, seen
 
 
