@@ -29,7 +29,7 @@ CAPACITY = 4096
 END_ID = 2
 GROUP_PIECES = 20_000
 #: Texts that are encoded together, in bytes, beside one Arrow batch.
-RUN_BYTES = 12 << 20
+RUN_BYTES = 4 << 20
 #: The pattern of the word tokenizer's splitter, for texts without ``UNSURE`` characters.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+"
 #: Texts with these go to the tokenizer whole; below U+0300, composition changes nothing and Arrow's lower case,
@@ -40,13 +40,13 @@ PIECE_DDL = "key long, start long, length long, ids_crc32 long, doc_tokens long,
 
 class WordEncoder:
     """Encodes texts as the tokenizer does, remembering the ids of short stretches between white space; by the bounds on
-    their number and length the memory stays under about 300 MB.
+    their number and length the memory stays under about 250 MB.
 
     The splitter drops white space and no word holds any, so a stretch's ids do not depend on its neighbours.
     Words that are new go to the tokenizer in one call, parted by a special token.
     """
 
-    CACHE, CACHED_CHARS = 1_000_000, 48
+    CACHE, CACHED_CHARS = 800_000, 48
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
@@ -132,14 +132,21 @@ def cut(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, text: str =
         encoder, end = encoder_of(vocabulary), np.array([END_ID], "<u4").tobytes()
         step = 4 * capacity
         for batch in runs(batches):
-            rows = []
+            rows, flat = [], []
             for k, ids in zip(batch.column(0).to_pylist(), encoder.encode_batch(pc.fill_null(batch.column(1), "")), strict=True):
                 ids += end
+                flat.append(ids)
                 for a in range(0, len(ids), step):
                     part = ids[a : a + step]
-                    rows.append((k, a // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4, np.frombuffer(part, "<i4") if with_ids else None))
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(columns[5], pa.list_(pa.int32()))], names=[x.split()[0] for x in PIECE_DDL.split(", ")])
+                    rows.append((k, a // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4))
+            columns = [pa.array(c, pa.int64()) for c in list(zip(*rows, strict=True)) or [()] * 5]
+            if with_ids:
+                # Pieces follow each other as their ids do.
+                values = pa.Array.from_buffers(pa.int32(), sum(map(len, flat)) // 4, [None, pa.py_buffer(b"".join(flat))])
+                pieces_of = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(columns[2].to_numpy())]).astype(np.int32)), values)
+            else:
+                pieces_of = pa.nulls(len(rows), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*columns, pieces_of], names=[x.split()[0] for x in PIECE_DDL.split(", ")])
 
     return docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(pieces, PIECE_DDL)
 
