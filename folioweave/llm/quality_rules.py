@@ -119,8 +119,12 @@ def host_table(failures: DataFrame, host: str, rules: Rules) -> DataFrame:
 
 
 def with_facts(docs: DataFrame, text: str = "text", facts: str = "facts") -> DataFrame:
-    """``docs`` with a struct of the counts of each whole text. ``facts`` must be a free name."""
-    return docs.withColumn(facts, F.pandas_udf(_facts, FACTS_DDL)(F.col(f"`{text}`")))
+    """``docs`` with a struct of the counts of each whole text. ``facts`` must be a free name.
+
+    The function is declared nondeterministic, which it is not, so that filters on counts are not pushed below it and
+    each text is counted once.
+    """
+    return docs.withColumn(facts, F.pandas_udf(_facts, FACTS_DDL).asNondeterministic()(F.col(f"`{text}`")))
 
 
 def verdicts(counted: DataFrame, host: str = "source", facts: str = "facts", rules: Rules | None = None, written: bool = True) -> DataFrame:
