@@ -209,6 +209,8 @@ class Grammar:
         return out
 
 
+#: One object for all tokens without a class.
+PLAIN = (OTHER, 0.0)
 Table = tuple[list[list[list[tuple[int, float, bool]]]], list[bool], int]
 
 
@@ -252,7 +254,7 @@ def tokens_of(text: str | None) -> list[str]:
 class Scorer:
     """A model made ready to score texts; holds a bounded cache of the classes of short tokens."""
 
-    CACHE, CACHED_CHARS = 300_000, 40
+    CACHE, CACHED_CHARS = 500_000, 40
 
     def __init__(self, model: Model):
         self.model = model
@@ -269,7 +271,7 @@ class Scorer:
         elif token[0] in ".!?;:\n":
             found = (END, 0.0)
         else:
-            found = self.fixed.get(token, (OTHER, 0.0))
+            found = self.fixed.get(token, PLAIN)
         if len(token) <= self.CACHED_CHARS:
             if len(self.cache) >= self.CACHE:
                 self.cache.clear()
